@@ -245,7 +245,7 @@ def write_shards(df: DataFrame, vocabulary: str, end_id: int, folder: str | None
         e = encoder(vocabulary)
         end = np.array([end_id], f"<u{e.width}").tobytes()
         low = None
-        with fs.open_output_stream(own) as out:
+        with fs.open_output_stream(own, compression=None) as out:
             w = ShardWriter(out, e.width)
             for batch in batches:
                 for value, ids in zip(batch.column("_id").to_pylist(), e.encode(strings(batch, "_text")), strict=True):
