@@ -1 +1 @@
-
+"""Operators over journals, commands and states."""

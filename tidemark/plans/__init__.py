@@ -1 +1 @@
-
+"""Derived inputs."""

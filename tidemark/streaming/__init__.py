@@ -1 +1 @@
-
+"""Continuous queries."""
