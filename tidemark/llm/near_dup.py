@@ -8,8 +8,8 @@ registers are buckets. The steps, each a written table:
    class's smallest id goes on, so copies cost nothing further.
 2. Every document meets the smallest id of the bucket it shares most buckets with; verified meetings are a forest.
 3. Buckets that still hold several components are gone through in blocks of at most ``BLOCK`` by ``BLOCK`` sketches.
-   For pairs across components the joint likelihood of the registers tells which similarities are plausible. First the
-   best pair of each document and foreign component is verified, then every plausible pair that is left.
+   For pairs across components the joint likelihood of the registers tells which similarities are plausible. Twice the
+   likeliest partner of each document is verified, then every plausible pair that is left.
 4. Links are confirmed on full shingle sets. Components are followed by hooking to smaller ids and pointer jumping.
 
 Pairs inside a component are never verified, so a large group costs about a link for each document, and no pair that
@@ -33,10 +33,10 @@ from .packing import stored_type
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-BLOCK = 256
+BLOCK = 512
 SALTS = 16
-#: A pair is dropped on its registers only if they are e**14 times likelier at another similarity than at the threshold.
-SLACK = 14.0
+#: A pair is dropped on its registers only if they are e**9 times likelier at another similarity than at the threshold.
+SLACK = 9.0
 
 _random = np.random.default_rng(20_240_607)
 _MULTIPLIERS = _random.integers(0, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
@@ -147,10 +147,10 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, rep) for every band of every class."""
+    """(key, band, rep) for every band of every class."""
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("registers", j * width + 1, width)) for j in range(BANDS)])
-    return classes.select("rep", F.explode(keys).alias("key"))
+    return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
 def salted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str = "inner") -> DataFrame:
@@ -207,76 +207,85 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
-    """Plausible pairs (a, b) of different components that share a bucket; with ``best_only`` one for each document and component.
+    """Plausible pairs (a, b) of different components that share a bucket.
 
-    ``members``: (key, rep) of the buckets with several classes.
+    ``members``: (key, band, rep) of the buckets with several classes. In a bucket only the documents outside its
+    largest component (the rest) have to be compared, with everything in it. So the bucket is cut into parts of at most
+    ``BLOCK`` documents on one side and its rest likewise on the other, and a task goes over one part of each at a time.
+
+    With ``best_only`` each document of the rest gives its likeliest partner in each part: as many pairs as there are
+    rows. Without it all plausible pairs come out, each in the first bucket that the two share. 
     """
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", ((F.col("size") - 1) / BLOCK).cast("int").alias("last"))
-    rows = salted(rows, mixed, ["key"], F.col("rep"))
-    own = F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    rows = rows.join(classes.select("rep", "n", "registers"), "rep")
-    blocks = rows.select("key", "lo", "hi", "own", "rep", "root", "n", "registers").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    part = lambda n: ((n - 1) / BLOCK).cast("int")
+    mixed = counts.where("size > most").select("key", "top", part(F.col("size")).alias("last"), part(F.col("size") - F.col("most")).alias("rest_last"))
+    rows = salted(rows, mixed, ["key"], F.col("rep")).join(classes.select("rep", "n", "registers"), "rep")
+    own, rest_own = (F.pmod(F.xxhash64("rep", F.lit(k)), F.col(c) + 1).cast("int") for k, c in enumerate(("last", "rest_last")))
+    spot = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
+    rest = F.col("root") != F.col("top")
+    here = F.transform(F.sequence(F.lit(0), F.col("rest_last")), lambda j: spot(own, j, False))
+    there = F.when(rest, F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: spot(i, rest_own, True))).otherwise(F.array().cast("array<struct<i:int,j:int,right:boolean>>"))
+    blocks = rows.select("key", "band", "rep", "root", rest.alias("rest"), "n", "registers", F.explode(F.concat(here, there)).alias("s"))
+    blocks = blocks.select("key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.right").alias("right"), "band", "rep", "root", "rest", "n", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     kind = classes.schema["rep"].dataType.simpleString()
+    stored = stored_type(classes, "rep")
 
-    def pairs_of(own, rep, root, n, regs, lo, hi):
-        left = np.flatnonzero(own == lo)
-        right = left if lo == hi else np.flatnonzero(own == hi)
-        out = []
-        for i in left:
-            js = right[(right > i) & (root[right] != root[i])] if lo == hi else right[root[right] != root[i]]
+    def pairs_of(held: list, out: set) -> None:
+        right = np.array([h[0] for h in held])
+        if right.all() or not right.any():
+            return
+        band = held[0][1]
+        rep, root, rest, n = (np.array([h[k] for h in held]) for k in (2, 3, 4, 5))
+        regs = np.stack([np.frombuffer(h[6], "<u2") for h in held])
+        left = np.flatnonzero(~right)
+        for i in np.flatnonzero(right):
+            js = left[root[left] != root[i]]
+            if not best_only:
+                js = js[~rest[js] | (rep[js] < rep[i])]
             js = js[np.minimum(n[js], n[i]) * 100 >= 75 * np.maximum(n[js], n[i])]
             if not len(js):
                 continue
-            larger = (regs[js] < regs[i]).sum(axis=1)
-            smaller = (regs[js] > regs[i]).sum(axis=1)
+            x, y = regs[js], regs[i]
+            same = (x == y).reshape(len(js), BANDS, ROWS)
+            if not best_only:
+                first = same.all(axis=2).argmax(axis=1) == band
+                js, x = js[first], x[first]
+                if not len(js):
+                    continue
+            smaller = (x > y).sum(axis=1)
+            larger = (x < y).sum(axis=1)
             best, keep = plausible(larger, smaller, np.full(len(js), n[i]), n[js])
-            for j, s in zip(js[keep], best[keep], strict=True):
-                out.append((rep[i], rep[j], root[i], root[j], s))
-        return out
+            found = js[keep]
+            if best_only and len(found):
+                found = found[[best[keep].argmax()]]
+            out.update((min(rep[i], rep[j]), max(rep[i], rep[j])) for j in found)
 
     def run(batches):
         held: list = []
         key = None
+        out: set = set()
 
-        def flush():
-            if len(held) < 2:
-                return []
-            own, rep, root, n = (np.array([h[k] for h in held]) for k in range(4))
-            regs = np.stack([np.frombuffer(h[4], "<u2") for h in held])
-            return pairs_of(own, rep, root, n, regs, key[1], key[2])
-
-        def batch_of(found):
-            if best_only:
-                top: dict = {}
-                for a, b, ra, rb, s in found:
-                    for node, comp in ((a, rb), (b, ra)):
-                        if (node, comp) not in top or top[node, comp][0] < s:
-                            top[node, comp] = (s, a, b)
-                pairs = {(a, b) for _, a, b in top.values()}
-            else:
-                pairs = {(a, b) for a, b, *_ in found}
-            pairs = sorted({(min(p), max(p)) for p in pairs})
+        def batch_of():
+            pairs = sorted(out)
+            out.clear()
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], stored) for k in (0, 1)], names=["a", "b"])
 
-        found: list = []
         for batch in batches:
             d = batch.to_pydict()
-            for k, lo, hi, *row in zip(*(d[c] for c in ("key", "lo", "hi", "own", "rep", "root", "n", "registers")), strict=True):
-                if (k, lo, hi) != key:
-                    found += flush()
-                    held.clear()
-                    key = (k, lo, hi)
+            for k, i, j, *row in zip(*(d[c] for c in ("key", "i", "j", "right", "band", "rep", "root", "rest", "n", "registers")), strict=True):
+                if (k, i, j) != key:
+                    if held:
+                        pairs_of(held, out)
+                        held.clear()
+                    key = (k, i, j)
                 held.append(row)
-            if len(found) > 10_000:
-                yield batch_of(found)
-                found.clear()
-        found += flush()
-        yield batch_of(found)
+            if len(out) > 10_000:
+                yield batch_of()
+        if held:
+            pairs_of(held, out)
+        yield batch_of()
 
-    stored = stored_type(classes, "rep")
     return blocks.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -289,7 +298,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bands = band_keys(classes)
     buckets = bands.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("key", "hub")
     met = written(salted(bands, buckets, ["key"], F.col("rep")))
-    members = met.select("key", "rep")
+    members = met.select("key", "band", "rep")
     wanted = met.groupBy("rep").agg(F.count(F.lit(1)).alias("buckets")).select(F.col("rep").alias("id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
     sets = written(shingle_sets(texts))
@@ -298,7 +307,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     star = common.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("buckets", "hub")).alias("b"))
     links = verified(star, sets)
     labels = _roots(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
-    for best_only in (True, False):
+    for best_only in (True, True, False):
         links = written(verified(written(across(members, labels, classes, best_only)), sets))
         labels = joined(labels, links)
 
