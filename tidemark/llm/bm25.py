@@ -1,19 +1,19 @@
 """Exact BM25 top-k search (operator 10): inverted shards, block-max pruning, an exact merge.
 
-Documents are indexed in shards of bounded size, each a file in the shared folder: terms, postings (document, count) and
-for each block of ``BLOCK`` documents and each term the block's greatest count. Document frequencies, lengths and the
-number of documents are summed over all shards, so a score does not depend on the shard.
+Documents are indexed in shards of bounded size, each a file in the shared folder with terms and postings (document,
+count); block maxima are made when it is read, as they depend on the average length. Document frequencies, lengths and
+the number of documents are summed over all shards, so a score does not depend on the shard.
 
-A query goes over a shard term by term, rarest first. What the terms still to come can add at most is known for every
-block of documents from the blocks' maxima. A document stays in the race while its score so far and that bound reach
-the k-th best score; as soon as few are left, or no new document can get there, only the ones in the race are completed
-by looking them up in the posting lists. The k-th best score starts from one shard that is searched first, so the other
-shards prune from their first query on and return little.
+A query goes over a shard from rare terms to common ones. The rare and the common terms' impacts are added up first. What
+the commonest terms can add at most is known for every block of documents from the blocks' maxima, and a document stays
+in the race only if its score so far and its block's bound reach the k-th best score; the commonest terms' lists are
+looked up for those alone. The k-th best score starts from one shard that is searched first, so the other shards prune
+from their first query on and return little.
 
 score(q, d) = sum over the distinct terms of q of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * |d| / avg))
 
-Terms are words of bytes other than ASCII white space, A-Z lower-cased. Every sum runs in the order of (idf, term), so
-equal texts have equal scores in every shard; scores are rounded to six digits, and ties go to the smaller id.
+Terms are words of bytes other than ASCII white space, A-Z lower-cased. Scores are rounded to six digits, so the order
+of a sum doesn't show, and ties go to the smaller id.
 
 Defined results: null texts are empty; an empty query finds nothing; only documents that share a term with the query are
 found; null ids are neither searched for nor found; repeated rows are found once each; an empty table gives no rows.
@@ -24,7 +24,6 @@ from __future__ import annotations
 import io
 import uuid
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,10 @@ from .common import byte_strings, filesystem, shared_folder, written
 
 K1, B = 1.2, 0.75
 BLOCK = 64
-#: A shard is closed at this many postings (about 24 bytes each while it is built).
-SHARD_POSTINGS = 6_000_000
+#: A term in more than 1 / COMMON of a shard's documents has a dense row, one in more than 1 / COMMONEST block maxima.
+COMMON, COMMONEST = 16, 4
+#: A shard is closed at this many postings or documents. Its dense rows take at most 8 * COMMON bytes for each posting.
+SHARD_POSTINGS, SHARD_DOCS = 3_000_000, 20_000
 
 
 def terms_of(raw: bytes) -> list[bytes]:
@@ -101,7 +102,7 @@ def build(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
         for batch in batches:
             for i, raw in zip(batch.column("id").to_pylist(), byte_strings(batch, "text"), strict=True):
                 b.add(i, raw)
-                if b.postings >= SHARD_POSTINGS:
+                if b.postings >= SHARD_POSTINGS or len(b.ids) >= SHARD_DOCS:
                     yield from rows(b)
                     b = Builder()
         if b.ids:
@@ -129,7 +130,8 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Shard:
-    """A shard read for searching, with the terms' impacts in it."""
+    """A shard read for searching. Its terms are of three kinds by their share of the documents: rare ones are posting
+    lists, common ones rows of a dense matrix, and the commonest are rows too, with the blocks' maxima beside them."""
 
     def __init__(self, uri: str, average: float):
         fs, path = filesystem(uri)
@@ -139,59 +141,56 @@ class Shard:
             self.ids, lengths, self.terms, self.starts, self.docs, counts = (z[k] for k in ("ids", "lengths", "terms", "starts", "docs", "counts"))
         norm = K1 * (1 - B + B * lengths / max(average, 1e-9))
         self.impacts = counts * (K1 + 1) / (counts + norm[self.docs])
-        # block maxima: for each term and block of documents that it is in, the greatest impact there
-        block = self.docs // BLOCK
-        first = np.ones(len(block), bool)
-        first[1:] = block[1:] != block[:-1]
-        first[self.starts[:-1]] = True
-        at = np.flatnonzero(first)
-        self.block_of = block[at]
-        self.block_max = np.maximum.reduceat(self.impacts, at) if len(at) else np.zeros(0)
-        self.block_starts = np.searchsorted(at, self.starts)
-        self.blocks = (len(self.ids) + BLOCK - 1) // BLOCK
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float) -> list[tuple[int, float]]:
-        """The k best (id, score) with a score of at least ``floor``; ``terms`` in descending order of idf."""
-        at = np.searchsorted(self.terms, terms)
-        here = (at < len(self.terms)) & (self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.zeros(len(terms), bool)
-        at, idf = at[here], idf[here]
-        if not len(at):
-            return []
-        # what all terms can add to the documents of a block
-        lo, hi = self.block_starts[at], self.block_starts[at + 1]
-        size = hi - lo
-        which = np.repeat(lo - np.append(0, size.cumsum()[:-1]), size) + np.arange(size.sum())
-        rest = np.bincount(self.block_of[which], self.block_max[which] * np.repeat(idf, size), self.blocks)
-        score = np.zeros(len(self.ids))
-        floor -= 1e-9
-        spans = list(zip(self.starts[at].tolist(), self.starts[at + 1].tolist(), strict=True))
-        race = None  # the documents that can still get there, once they are few
-        for n, (a, b) in enumerate(spans):
-            if race is None and b - a > 2 * BLOCK:
-                if k <= len(score):  # the k-th best partial score is a bound as well
-                    floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] - 1e-9)
-                alive = np.flatnonzero(score + np.repeat(np.maximum(rest, 0), BLOCK)[: len(score)] + 1e-6 >= floor) if floor > 0 else None
-                if alive is not None and len(alive) * 4 < len(score):
-                    race = alive
-            if race is None:
-                docs = self.docs[a:b]
-                score[docs] += idf[n] * self.impacts[a:b]
-            else:
-                docs = self.docs[a:b]
-                i = np.searchsorted(docs, race)
-                i[i == len(docs)] = 0
-                hit = docs[i] == race
-                score[race[hit]] += idf[n] * self.impacts[a + i[hit]]
-            s, e = lo[n], hi[n]
-            rest[self.block_of[s:e]] -= idf[n] * self.block_max[s:e]
-            if race is not None and n % 8 == 7:
-                race = race[score[race] + np.maximum(rest, 0)[race // BLOCK] + 1e-6 >= floor]
-        found = np.flatnonzero(score > 0) if race is None else race[score[race] > 0]
-        value = np.round(score[found], 6)
-        keep = value >= floor - 1e-6
-        found, value = found[keep], value[keep]
-        best = np.lexsort((self.ids[found], -value))[:k]
-        return list(zip(self.ids[found[best]].tolist(), value[best].tolist(), strict=True))
+        n, df = len(self.ids), np.diff(self.starts)
+        self.row = np.full(len(self.terms), -1)
+        self.dense = []
+        for at in (np.flatnonzero((df * COMMON > n) & (df * COMMONEST <= n)), np.flatnonzero(df * COMMONEST > n)):
+            rows = np.zeros((len(at), n))
+            for k, t in enumerate(at):
+                lo, hi = self.starts[t], self.starts[t + 1]
+                rows[k, self.docs[lo:hi]] = self.impacts[lo:hi]
+            self.row[at] = np.arange(len(at))
+            self.dense.append(rows)
+        self.kind = (df * COMMON > n).astype(int) + (df * COMMONEST > n)
+        edges = np.arange(0, n, BLOCK)
+        self.block_max = np.maximum.reduceat(self.dense[1], edges, axis=1) if n else np.zeros((0, 0))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[int, float]]]:
+        """For each query (terms, idf, floor) the k best (id, score) with a score of at least its floor."""
+        n, found = len(self.ids), []
+        weights = np.zeros((2, len(queries), max(len(d) for d in self.dense)))
+        rare = []
+        for q, (terms, idf, _) in enumerate(queries):
+            at = np.searchsorted(self.terms, terms)
+            here = at < len(self.terms)
+            here[here] = self.terms[at[here]] == terms[here]
+            at, idf = at[here], idf[here]
+            kind = self.kind[at]
+            for level in (1, 2):
+                weights[level - 1, q, self.row[at[kind == level]]] = idf[kind == level]
+            rare.append((at[kind == 0], idf[kind == 0]))
+        common = weights[0, :, : len(self.dense[0])] @ self.dense[0]
+        top = weights[1, :, : len(self.dense[1])]
+        bounds = top @ self.block_max
+        for q, (at, idf) in enumerate(rare):
+            score = common[q]
+            if len(at):
+                lo = self.starts[at]
+                size = self.starts[at + 1] - lo
+                i = np.repeat(lo - np.append(0, size.cumsum()[:-1]), size) + np.arange(size.sum())
+                score = score + np.bincount(self.docs[i], self.impacts[i] * np.repeat(idf, size), n)
+            floor = queries[q][2]
+            if k <= n:  # what the k-th best document has already bounds the final k-th best
+                floor = max(floor, np.partition(score, n - k)[n - k])
+            floor -= 1e-6
+            race = np.flatnonzero(score + np.repeat(bounds[q], BLOCK)[:n] >= floor)
+            # only the documents in the race are looked up in the commonest terms' lists
+            value = np.round(score[race] + top[q] @ self.dense[1][:, race], 6)
+            keep = (value > 0) & (value >= floor)
+            race, value = race[keep], value[keep]
+            best = np.lexsort((self.ids[race], -value))[:k]
+            found.append(list(zip(self.ids[race[best]].tolist(), value[best].tolist(), strict=True)))
+        return found
 
 
 def _blocks(folder: str):
@@ -215,9 +214,10 @@ def _searched(spark, shards: list[str], average: float, folder: str, k: int) ->
                 shard = Shard(shards[n], average)
                 for block in _blocks(folder):
                     qs, ds, ss = [], [], []
-                    for q, t, w, low in zip(*(block.column(c) for c in ("query", "terms", "idf", "floor")), strict=True):
-                        for d, s in shard.search(t.values.to_numpy(), w.values.to_numpy(), k, low.as_py()):
-                            qs.append(q.as_py())
+                    asked = [(t.values.to_numpy(), w.values.to_numpy(), low.as_py()) for t, w, low in zip(*(block.column(c) for c in ("terms", "idf", "floor")), strict=True)]
+                    for q, found in zip(block.column("query").to_pylist(), shard.search(asked, k), strict=True):
+                        for d, s in found:
+                            qs.append(q)
                             ds.append(d)
                             ss.append(s)
                     yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.float64())], names=["query", "id", "score"])
