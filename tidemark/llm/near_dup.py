@@ -10,6 +10,7 @@ registers are buckets. The steps, each a written table:
 3. Buckets that still hold several components are gone through in blocks of at most ``BLOCK`` by ``BLOCK`` sketches.
    For pairs across components the joint likelihood of the registers tells which similarities are plausible. Twice the
    likeliest partner of each document is verified, then every plausible pair that is left.
+   Where large groups meet, sets are looked up in files and pairs are verified where they are found.
 4. Links are confirmed on full shingle sets. Components are followed by hooking to smaller ids and pointer jumping.
 
 Pairs inside a component are never verified, so a large group costs about a link for each document, and no pair that
@@ -23,11 +24,13 @@ other than those named are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_strings, written
+from .common import byte_strings, filesystem, shared_folder, written
 from .packing import stored_type
 
 REGISTERS, ROWS = 128, 4
@@ -35,6 +38,7 @@ BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 BLOCK = 512
 SALTS = 16
+IN_PLACE = 256
 #: A pair is dropped on its registers only if they are e**9 times likelier at another similarity than at the threshold.
 SLACK = 9.0
 
@@ -146,6 +150,87 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, hashes binary")
 
 
+class SetFiles:
+    """Shingle sets in files of the shared folder, for looking up single sets from a task.
+
+    An id's file is its text's crc32 modulo the number of files; beside a file lies an index of ids, offsets and sizes.
+    """
+
+    CACHE_BYTES = 64 << 20
+
+    def __init__(self, folder: str, files: int):
+        self.folder, self.files = folder, files
+        self.open: dict = {}
+        self.sets: dict = {}
+        self.held = 0
+
+    @classmethod
+    def write(cls, sets: DataFrame, folder: str) -> SetFiles:
+        """From a written table (id, n, hashes)."""
+        files = max(16, -(-sets.count() // 50_000))
+        kind = stored_type(sets, "id")
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            attempt = TaskContext.get().taskAttemptId()
+            fs, root = filesystem(folder)
+            fs.create_dir(root, recursive=True)
+            number, out, index, at = None, None, [], 0
+
+            def close() -> None:
+                out.close()
+                table = pa.table({"id": pa.array([x[0] for x in index], kind), "at": pa.array([x[1] for x in index], pa.int64()), "bytes": pa.array([x[2] for x in index], pa.int64())})
+                with fs.open_output_stream(f"{root}/_{attempt}-{number}.index") as o, pa.ipc.new_stream(o, table.schema) as w:
+                    w.write_table(table)
+                fs.move(f"{root}/_{attempt}-{number}", f"{root}/{number}")
+                fs.move(f"{root}/_{attempt}-{number}.index", f"{root}/{number}.index")
+
+            for batch in batches:
+                for f, i, raw in zip(batch.column("file").to_pylist(), batch.column("id").to_pylist(), batch.column("hashes"), strict=True):
+                    if f != number:
+                        if out is not None:
+                            close()
+                        number, index, at = f, [], 0
+                        out = fs.open_output_stream(f"{root}/_{attempt}-{number}")
+                    out.write(raw.as_buffer())
+                    index.append((i, at, len(raw.as_buffer())))
+                    at += len(raw.as_buffer())
+            if out is not None:
+                close()
+            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["none"])
+
+        placed = sets.withColumn("file", F.crc32(F.col("id").cast("string").cast("binary")) % files)
+        placed.repartition(files, "file").sortWithinPartitions("file").mapInArrow(run, "none long").count()
+        return cls(folder, files)
+
+    def get(self, i) -> np.ndarray:
+        if i in self.sets:
+            return self.sets[i]
+        f = zlib.crc32(str(i).encode()) % self.files
+        if f not in self.open:
+            fs, root = filesystem(self.folder)
+            with fs.open_input_stream(f"{root}/{f}.index") as o, pa.ipc.open_stream(o) as r:
+                t = r.read_all()
+            self.open[f] = (fs.open_input_file(f"{root}/{f}"), dict(zip(t["id"].to_pylist(), zip(t["at"].to_pylist(), t["bytes"].to_pylist(), strict=True), strict=True)))
+        file, index = self.open[f]
+        at, size = index[i]
+        file.seek(at)
+        got = np.frombuffer(file.read(size), "<u8")
+        if self.held > self.CACHE_BYTES:
+            self.sets.clear()
+            self.held = 0
+        self.sets[i] = got
+        self.held += size
+        return got
+
+
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets have 3/4 of their union in common."""
+    common = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * common >= 75 * (len(s) + len(t) - common)
+
+
 def band_keys(classes: DataFrame) -> DataFrame:
     """(key, band, rep) for every band of every class."""
     width = 2 * ROWS
@@ -170,9 +255,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                s, t = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= 75 * (len(s) + len(t) - common))
+                keep.append(linked(*(np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75
@@ -206,7 +289,7 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def across(members: DataFrame, labels: DataFrame, classes: DataFrame, best_only: bool) -> DataFrame:
+def across(members: DataFrame, labels: DataFrame, classes: DataFrame, files: SetFiles, best_only: bool) -> DataFrame:
     """Plausible pairs (a, b) of different components that share a bucket.
 
     ``members``: (key, band, rep) of the buckets with several classes. In a bucket only the documents outside its
@@ -214,7 +297,9 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, best_only:
     ``BLOCK`` documents on one side and its rest likewise on the other, and a task goes over one part of each at a time.
 
     With ``best_only`` each document of the rest gives its likeliest partner in each part: as many pairs as there are
-    rows. Without it all plausible pairs come out, each in the first bucket that the two share. 
+    rows. Without it all plausible pairs come out, each in the first bucket that the two share. Where two parts have
+    more than ``IN_PLACE`` of them, their sets are looked up there and then, and only a link comes out for each document
+    and component.
     """
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top"))
@@ -236,6 +321,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, best_only:
         if right.all() or not right.any():
             return
         band = held[0][1]
+        ids, found = [h[2] for h in held], []
         rep, root, rest, n = (np.array([h[k] for h in held]) for k in (2, 3, 4, 5))
         regs = np.stack([np.frombuffer(h[6], "<u2") for h in held])
         left = np.flatnonzero(~right)
@@ -256,10 +342,17 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, best_only:
             smaller = (x > y).sum(axis=1)
             larger = (x < y).sum(axis=1)
             best, keep = plausible(larger, smaller, np.full(len(js), n[i]), n[js])
-            found = js[keep]
-            if best_only and len(found):
-                found = found[[best[keep].argmax()]]
-            out.update((min(rep[i], rep[j]), max(rep[i], rep[j])) for j in found)
+            if keep.any():
+                found.append((i, js[keep][np.argsort(-best[keep], kind="stable")]))
+        in_place = not best_only and sum(len(js) for _, js in found) > IN_PLACE
+        for i, js in found:
+            met = set()
+            for j in js[:1] if best_only else js:
+                if in_place:
+                    if root[j] in met or not linked(files.get(ids[i]), files.get(ids[j])):
+                        continue
+                    met.add(root[j])
+                out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
 
     def run(batches):
         held: list = []
@@ -302,13 +395,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wanted = met.groupBy("rep").agg(F.count(F.lit(1)).alias("buckets")).select(F.col("rep").alias("id"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
     sets = written(shingle_sets(texts))
+    files = SetFiles.write(sets, shared_folder(docs.sparkSession))
 
     common = met.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("buckets"))
     star = common.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("buckets", "hub")).alias("b"))
     links = verified(star, sets)
     labels = _roots(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
     for best_only in (True, True, False):
-        links = written(verified(written(across(members, labels, classes, best_only)), sets))
+        links = written(verified(written(across(members, labels, classes, files, best_only)), sets))
         labels = joined(labels, links)
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or root is not null").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
