@@ -236,7 +236,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     shards = [r["shard"] for r in totals]
 
     asked = written(query_terms(queries, id_col, text_col).distinct())
-    df = table.where(F.col("term").isNotNull()).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    df = table.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
     weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     lists = weighted.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("idf", "term")), asc=False).alias("x")).select("query", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf"))
     plain = written(lists.withColumn("floor", F.lit(0.0)), f"{folder}/queries")
