@@ -2,8 +2,7 @@
 
 Every document gets its base figures. Its lines, lower-cased and with single spaces, are hashed; for each host and line
 the distinct documents are counted, and a line in more than ``max_documents`` of them is boilerplate. What is left of a
-document after its boilerplate lines go decides whether it stays: it needs ``min_words`` words and the share ``min_share``
-of its own.
+document after its boilerplate lines go decides whether it stays: less than ``min_share`` of its words is depleted.
 
 Copies of one document are not different documents: of the documents that hold a line, those count as one whose other
 lines have the same smallest hash. So a text that was copied a thousand times is not taken for boilerplate.
@@ -68,14 +67,14 @@ def line_counts(table: DataFrame) -> DataFrame:
     return d.select("host", "hash", other.alias("other")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def judged(table: DataFrame, max_documents: int = 20, min_words: int = 20, min_share: float = 0.5) -> DataFrame:
+def judged(table: DataFrame, max_documents: int = 20, min_share: float = 0.3) -> DataFrame:
     """The rows of ``facts`` without their lines, with base_failed, removed_words and kept."""
     common = line_counts(table).where(F.col("documents") > max_documents).select(F.col("host").alias("h"), F.col("hash").alias("x"))
     lines = table.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     lost = lines.join(common, lines.host.eqNullSafe(common.h) & (lines.hash == common.x)).groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("removed_words"))
     d = table.drop("lines").join(lost, F.col("row") == F.col("r"), "left").drop("r").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("base_failed", base_failed())
     left = F.col("n_words") - F.col("removed_words")
-    return d.withColumn("kept", ~F.col("base_failed") & ((F.col("removed_words") == 0) | (left >= min_words) & (left >= min_share * F.col("n_words"))))
+    return d.withColumn("kept", ~F.col("base_failed") & (left >= min_share * F.col("n_words")))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:

@@ -84,7 +84,7 @@ f AS (SELECT x.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_tra
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS removed_words
       FROM x LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
 g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
-SELECT *, NOT base_failed AND (removed_words = 0 OR (n_words - removed_words >= 20 AND n_words - removed_words >= 0.5 * n_words)) AS kept FROM g
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM g
 """
 
 OP6_SQL = r"""
