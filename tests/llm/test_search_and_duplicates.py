@@ -144,7 +144,7 @@ def test_audit_finds_every_damaged_record(spark):
     folder = common.shared_folder(spark)
     index = warc_audit.write_archive(d, f"{folder}/one")
     warc_audit.copy_files(index, f"{folder}/one", f"{folder}/same")
-    hurt = index.where("id % 97 = 3").select("file", (index.offset + index.length - 1).alias("at"))
+    hurt = index.where("id % 97 = 3").select("file", (F.col("offset") + F.col("length") - 1).alias("at"))
     warc_audit.copy_files(index, f"{folder}/one", f"{folder}/two", hurt)
     one, same, two = (warc_audit.trees(index, f"{folder}/{k}") for k in ("one", "same", "two"))
     assert warc_audit.archive_root(one) == warc_audit.archive_root(same) != warc_audit.archive_root(two)
