@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,23 +61,27 @@ class Memo:
         self.young: dict = {}
         self.old: dict = {}
 
-    def get(self, keys: Iterable) -> dict:
-        """The young generation, which now holds every one of ``keys``."""
-        young, old = self.young, self.old
-        wanted = set(keys)
-        todo = wanted.difference(young)
-        if len(young) + len(todo) > self.limit and young:
-            self.old = old = young
-            self.young = young = {}
-            todo = wanted
-        if old:
-            for k in [k for k in todo if k in old]:
-                young[k] = old[k]
-                todo.discard(k)
+    def rows(self, groups: list[list]) -> list[list]:
+        """The values of each group's keys. Values are never None."""
+        known, todo, out, holes = self.young.get, set(), [], []
+        for keys in groups:
+            values = list(map(known, keys))
+            if None in values:
+                at = [i for i, v in enumerate(values) if v is None]
+                todo.update([keys[i] for i in at])
+                holes.append((values, keys, at))
+            out.append(values)
         if todo:
-            todo = list(todo)
-            young.update(zip(todo, self.fill(todo), strict=True))
-        return young
+            found = {k: self.old[k] for k in todo if k in self.old} if self.old else {}
+            new = [k for k in todo if k not in found]
+            found.update(zip(new, self.fill(new), strict=True))
+            if self.young and len(self.young) + len(found) > self.limit:
+                self.old, self.young = self.young, {}
+            self.young.update(found)
+            for values, keys, at in holes:
+                for i in at:
+                    values[i] = found[keys[i]]
+        return out
 
 
 def in_groups(texts: list, limit: int = 1 << 20) -> Iterator[range]:

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -177,9 +176,7 @@ class PieceCodec:
         out = []
         for part in in_groups(texts):
             cut = [self.units.findall(MARK + texts[i].replace(" ", MARK)) if texts[i] else [] for i in part]
-            memo = self.memo.get(chain.from_iterable(cut))
-            for units in cut:
-                got = [memo[u] for u in units]
+            for got in self.memo.rows(cut):
                 ids = " ".join([*[g[0] for g in got], str(self.end_id)])
                 text = "".join([g[2] for g in got])
                 text = text[1:] if text[:1] == " " else text
@@ -188,8 +185,7 @@ class PieceCodec:
 
     def encode(self, text: str) -> list[int]:
         units = self.units.findall(MARK + text.replace(" ", MARK)) if text else []
-        memo = self.memo.get(units)
-        return [int(i) for u in units for i in memo[u][0].split()]
+        return [int(i) for got in self.memo.rows([units]) for g in got for i in g[0].split()]
 
 
 def utf8(raw: bytes) -> str:
