@@ -12,21 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 #: Unicode White_Space, spelled out so that every regular expression here means the same characters.
 SPACES = "\t-\r \x85\xa0  -     　"
 
+_FOLDERS: set[str] = set()
+
 #: ASCII white space: what separates words in the contracts, and what ``bytes.split()`` splits on.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors see.
+    """A new name in a folder that the driver and all executors see; what lies there goes when the application ends.
 
-    It lies in ``spark.checkpoint.dir``. Only where that setting is absent (tests, a single machine) a
-    folder of this machine takes its place; on a cluster the setting has to name shared storage.
+    It is in ``spark.checkpoint.dir``. Only where that setting is absent (tests, a single machine) a folder of this
+    machine takes its place; on a cluster the setting has to name shared storage.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file:///tmp/tidemark-shared"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidemark-shared").rstrip("/")
+    top = f"{root}/tidemark-{spark.sparkContext.applicationId}"
+    if top not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(top)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _FOLDERS.add(top)
+    return f"{top}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
