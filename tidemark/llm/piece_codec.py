@@ -46,6 +46,7 @@ class PieceCodec:
         self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.surface = {i: p.replace(MARK, " ") for p, i in self.ids.items()}
+        self.decimal = [str(i) for i in range(len(self.pieces))]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.unknown = {i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN}
@@ -105,23 +106,26 @@ class PieceCodec:
         n = len(text)
         last = [-1] * (n + 1)
         width = [0] * (n + 1)
-        pairs = self.pairs
-        for end, (size, token) in self.automaton.iter(text):
-            end += 1
-            if last[end] < 0:
-                if size < end:
-                    key = last[end - size] << 20 | token
-                    fits = pairs.get(key)
-                    if not (self.fits(key) if fits is None else fits):
-                        continue
-                elif size > 1 and not self.stable(token):
+        known = self.pairs.get
+        end = 0  # of the prefix whose last token was found last
+        for at, (size, token) in self.automaton.iter(text):
+            if at < end:
+                continue
+            at += 1
+            if size < at:
+                key = last[at - size] << 20 | token
+                fits = known(key)
+                if not (self.fits(key) if fits is None else fits):
                     continue
-                last[end], width[end] = token, size
+            elif size > 1 and not self.stable(token):
+                continue
+            last[at], width[at], end = token, size, at
         out = []
         while n:
             out.append(last[n])
             n -= width[n]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def with_bytes(self, ids: list[int]) -> list[int]:
         if ids and min(ids) < 0:
@@ -150,17 +154,20 @@ class PieceCodec:
 
     def _fill(self, units: list[str]) -> list[tuple[str, int, str]]:
         """(decimal ids, how many, decoded text) of units; a closing mark that no piece joins to the letter before it is cut off."""
-        young = self.memo.young
+        young, surface, decimal = self.memo.young, self.surface, self.decimal
         out = []
         own: dict = {}
 
         def one(u: str):
             got = young.get(u) or own.get(u)
             if got is None:
-                ids = self.with_bytes(self.encode_unit(u))
-                text = self.decode([self.end_id, *ids])
-                # decode() takes the first space of a text away; within a text it belongs to the unit
-                got = own[u] = (" ".join(map(str, ids)), len(ids), " " + text if u[0] == MARK else text)
+                ids = self.encode_unit(u)
+                if min(ids) >= 0:
+                    text = "".join([surface[i] for i in ids])
+                else:  # decode() takes the first space of a text away; within a text it belongs to the unit
+                    ids = self.with_bytes(ids)
+                    text = (" " if u[0] == MARK else "") + self.decode([self.end_id, *ids])
+                got = own[u] = (" ".join([decimal[i] for i in ids]), len(ids), text)
             return got
 
         for u in units:
@@ -174,7 +181,7 @@ class PieceCodec:
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(ids with the end id, their sha256, the decoded text's sha256) of whole texts."""
         out = []
-        for part in in_groups(texts):
+        for part in in_groups(texts, 1 << 22):
             cut = [self.units.findall(MARK + texts[i].replace(" ", MARK)) if texts[i] else [] for i in part]
             for got in self.memo.rows(cut):
                 ids = " ".join([*[g[0] for g in got], str(self.end_id)])
