@@ -108,6 +108,18 @@ def test_depleted_documents_go_and_copies_stay(spark):
     assert cut[0] == words(1000, 8) and cut[100] == own[100] and cut[200] == copy
 
 
+def test_templates_of_several_lines_are_boilerplate_and_copies_are_not(spark):
+    shared = [words(k, 15) for k in range(12)]
+    rows = [(i, "\n".join([*shared, words(1000 + i, 15)]), "h", "") for i in range(100)]
+    mixes = [words(k, 15) for k in range(20, 28)]  # nothing but template lines, in varying mixes
+    rows += [(200 + i, "\n".join(x for k, x in enumerate(mixes) if i >> k & 1), "mixed", "") for i in range(3, 256)]
+    rows += [(1000 + i, "\n".join(x.upper() if i % 2 else f"  {x}" for x in shared), "copied", "") for i in range(50)]
+    got = {r["doc_id"]: r for r in line_rules.assess(docs(spark, rows)).collect()}
+    assert all(got[i]["removed_words"] == 180 and not got[i]["kept"] for i in range(100))
+    assert all(got[i]["removed_words"] == got[i]["n_words"] for i in range(203, 456))
+    assert all(got[i]["removed_words"] == 0 and got[i]["kept"] for i in range(1000, 1050))
+
+
 def test_no_documents(spark):
     assert line_rules.assess(docs(spark, [])).collect() == []
 

@@ -4,8 +4,8 @@ Every document gets its base figures. Its lines, lower-cased and with single spa
 the distinct documents are counted, and a line in more than ``max_documents`` of them is boilerplate. What is left of a
 document after its boilerplate lines go decides whether it stays: less than ``min_share`` of its words is depleted.
 
-Copies of one document are not different documents: of the documents that hold a line, those count as one whose other
-lines have the same smallest hash. So a text that was copied a thousand times is not taken for boilerplate.
+Copies of one document are not different documents: those with the same lines in the same order, but for case and spaces,
+count as one. So a text that was copied a thousand times is not taken for boilerplate, and a template's lines are.
 
 Both counts are grouped after partial sums, so a line or host that is everywhere loads no single task; the join with
 boilerplate lines is left to skew handling, as neither side is grouped before or after it by that key.
@@ -60,11 +60,8 @@ def base_failed() -> Column:
 
 def line_counts(table: DataFrame) -> DataFrame:
     """(host, hash, documents): in how many different documents of a host a line is."""
-    hashes = F.array_distinct(F.col("lines.hash"))
-    d = table.select("host", hashes.alias("hashes")).withColumn("first", F.array_min("hashes"))
-    d = d.withColumn("second", F.array_min(F.array_remove("hashes", F.col("first")))).select("host", "first", "second", F.explode("hashes").alias("hash"))
-    other = F.coalesce(F.when(F.col("hash") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(0))
-    return d.select("host", "hash", other.alias("other")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("documents"))
+    d = table.select("host", F.xxhash64(F.col("lines.hash")).alias("print"), F.explode(F.array_distinct("lines.hash")).alias("hash"))
+    return d.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def judged(table: DataFrame, max_documents: int = 20, min_share: float = 0.3) -> DataFrame:
