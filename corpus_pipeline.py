@@ -6,15 +6,16 @@ reads it again for the next one. All stages but the last return the columns of `
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import common, line_rules, near_dup, packing, quality_model
 from tidemark.llm.queries import table, vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by boilerplate lines."""
-    return line_rules.keep_good(docs)
+    """Documents that pass the base rules and are not depleted by boilerplate lines, without those lines."""
+    good = line_rules.clean_good(docs)
+    return good.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

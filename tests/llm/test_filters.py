@@ -120,6 +120,23 @@ def test_templates_of_several_lines_are_boilerplate_and_copies_are_not(spark):
     assert all(got[i]["removed_words"] == 0 and got[i]["kept"] for i in range(1000, 1050))
 
 
+def test_pipeline_goes_on_without_boilerplate_lines(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    shared = [words(k, 15) for k in range(3)]
+    own = {i: [words(50 * i + k, 20) for k in range(8)] for i in range(30)}
+    rows = [(i, "\n".join([shared[0], *x[:4], f"  {shared[1].upper()}", "", *x[4:], shared[2]]), "h") for i, x in own.items()]
+    rows += [(100 + i, "\n".join([*shared, words(9000 + i, 8)]), "h") for i in range(5)]  # depleted
+    rows += [(200, "\n".join([*shared, *own[9]]), None), (None, rows[3][1], "h"), rows[4], (201, None, "h")]
+    d = spark.createDataFrame([(i, t, "en", h, len(t or "")) for i, t, h in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.quality_rules(spark, d, "")
+    assert got.schema == d.schema
+    clean = {i: "\n".join([*x[:4], "", *x[4:]]) for i, x in own.items()}
+    want = [*clean.items(), (200, rows[35][1]), (None, clean[3]), (4, clean[4])]
+    assert sorted((str(r["doc_id"]), r["text"], r["n_chars"]) for r in got.collect()) == sorted((str(i), t, len(t)) for i, t in want)
+    cut = {(r["doc_id"], r["text"]) for r in line_rules.without_common_lines(d).collect()}
+    assert {(r["doc_id"], r["text"]) for r in got.collect()} <= cut
+
+
 def test_no_documents(spark):
     assert line_rules.assess(docs(spark, [])).collect() == []
 

@@ -29,6 +29,10 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
+def plain(line: Column) -> Column:
+    return F.lower(F.btrim(F.regexp_replace(line, _SPACE, " "), F.lit(" ")))
+
+
 def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", window: int = 8) -> DataFrame:
     """(row, id, host, print, base figures, lines) of every document; lines: (hash, words), one for each line with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -41,8 +45,7 @@ def facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     d = d.withColumn("n_dup_lines", (F.size("kept_lines") - F.size(F.array_distinct("kept_lines"))).cast("long"))
     hashed = F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - window), lambda i: F.xxhash64(*[F.get("words", i + k) for k in range(window)]))
     d = d.withColumn("windows", F.when(F.col("n_words") > window, hashed))
-    line = lambda x: F.lower(F.btrim(F.regexp_replace(x, _SPACE, " "), F.lit(" ")))
-    counted = F.transform(F.transform("kept_lines", line), lambda x: F.struct(line_hash(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
+    counted = F.transform(F.transform("kept_lines", plain), lambda x: F.struct(line_hash(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
     d = d.select("id", "host", "print", "n_words", "word_chars", "n_symbols", "n_dup_lines", counted.alias("lines"), "windows")
     # only documents with a window twice need the windows' order
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
@@ -65,10 +68,10 @@ def line_counts(table: DataFrame) -> DataFrame:
 
 
 def judged(table: DataFrame, max_documents: int = 20, min_share: float = 0.3) -> DataFrame:
-    """The rows of ``facts`` without their lines, with base_failed, removed_words and kept."""
+    """The rows of ``facts`` without their lines, with base_failed, removed_words, common (their boilerplate lines' hashes, or null) and kept."""
     common = line_counts(table).where(F.col("documents") > max_documents).select(F.col("host").alias("h"), F.col("hash").alias("x"))
     lines = table.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    lost = lines.join(common, lines.host.eqNullSafe(common.h) & (lines.hash == common.x)).groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("removed_words"))
+    lost = lines.join(common, lines.host.eqNullSafe(common.h) & (lines.hash == common.x)).groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_set("hash")).alias("common"))
     d = table.drop("lines").join(lost, F.col("row") == F.col("r"), "left").drop("r").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("base_failed", base_failed())
     left = F.col("n_words") - F.col("removed_words")
     return d.withColumn("kept", ~F.col("base_failed") & (left >= min_share * F.col("n_words")))
@@ -88,12 +91,23 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     return docs.join(out, same, "left_anti")
 
 
+def clean_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The rows of ``keep_good`` without their boilerplate lines; the other columns as they were."""
+    d = judged(written(facts(docs, id_col, text_col, host_col)), **limits)
+    other = d.where(~F.col("kept") | F.col("common").isNotNull()).select(F.col("id").alias("_i"), F.col("host").alias("_h"), F.col("print").alias("_p"), F.col("kept").alias("_kept"), F.col("common").alias("_common")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(host_col).eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_p"))
+    left = F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("_common", line_hash(plain(x))))
+    text = F.when(F.col("_common").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", left))
+    good = docs.join(other, same, "left").where(F.coalesce("_kept", F.lit(True)))
+    return good.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
 def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = 20) -> DataFrame:
     """(id, text) of every document without its boilerplate lines, in order; texts can become empty."""
     names = {"i": id_col, "t": text_col, "h": host_col}
     d = docs.select(*[F.col(c).alias(k) for k, c in names.items()], F.monotonically_increasing_id().alias("row"))
     d = written(d.select("row", "i", "h", F.posexplode_outer(F.split("t", "\n", -1)).alias("at", "line")))
-    flat = F.lower(F.btrim(F.regexp_replace("line", _SPACE, " "), F.lit(" ")))
+    flat = plain(F.col("line"))
     d = d.withColumn("hash", F.when(flat != "", line_hash(flat)))
     common = line_counts(facts(docs, id_col, text_col, host_col)).where(F.col("documents") > max_documents).select(F.col("host").alias("ch"), F.col("hash").alias("cx"))
     left = d.join(common, d.h.eqNullSafe(common.ch) & (d.hash == common.cx), "left").groupBy("row").agg(F.first("i").alias(id_col), F.sort_array(F.collect_list(F.when(F.col("cx").isNull(), F.struct("at", "line")))).alias("kept"))
