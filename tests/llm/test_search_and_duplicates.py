@@ -166,6 +166,49 @@ def test_audit_finds_every_damaged_record(spark):
     assert {(r["file"], r["number"]) for r in lost.collect()} == {(r["file"], r["number"]) for r in index.where(index.file == gone).collect()}
 
 
+def test_audit_finds_appended_bytes_and_other_files(spark):
+    d = pages(spark, [(i, f"u{i}", f"body {i}", "f") for i in range(100)]).repartition(2)
+    folder = common.shared_folder(spark)
+    index = warc_audit.write_archive(d, f"{folder}/one")
+    warc_audit.copy_files(index, f"{folder}/one", f"{folder}/two")
+    one = warc_audit.trees(index, f"{folder}/one")
+    fs, root = common.filesystem(f"{folder}/two")
+    ends = {r["file"]: (r["n"], r["end"]) for r in index.groupBy("file").agg(F.count("*").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()}
+
+    def write(name, data):
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
+            f.write(data)
+
+    def differ(expected):
+        two = warc_audit.trees(index, f"{folder}/two")
+        assert (warc_audit.archive_root(one) == warc_audit.archive_root(two)) == (not expected)
+        for x, y in ((one, two), (two, one)):
+            assert {(r["file"], r["number"], r["start"], r["end"]) for r in warc_audit.audit(x, y).collect()} == expected
+
+    differ(set())
+    name = min(ends)
+    n, end = ends[name]
+    with fs.open_input_file(f"{root}/{name}") as f:
+        whole = f.read()
+    write(name, whole + b"more")
+    differ({(name, n, end, end + 4)})
+    write(name, whole)
+    write("part-000099.warc.gz", b"else")
+    write("empty", b"")
+    differ({("part-000099.warc.gz", 0, 0, 4), ("empty", 0, 0, 0)})
+    fs.delete_file(f"{root}/part-000099.warc.gz")
+    fs.delete_file(f"{root}/empty")
+    write(name, whole[:-1])
+    last = index.where((F.col("file") == name) & (F.col("number") == n - 1)).first()["offset"]
+    differ({(name, n - 1, last, end)})
+
+
+def test_no_files_for_no_pages(spark):
+    folder = common.shared_folder(spark)
+    index = warc_audit.write_archive(pages(spark, [(1, "u", "b", "f")]).repartition(3), folder)
+    assert warc_audit.files(folder) == [r["file"] for r in index.collect()]
+
+
 def test_drill(spark):
     rows = [(i, f"u{i}", f"body {i}", "f") for i in range(300)]
     d = pages(spark, rows)

@@ -1,12 +1,15 @@
 """WARC files and their Merkle fixity audit (operator 8).
 
 Pages become gzip members of WARC files, a file for each task, with an index of offsets. For a replica, every record's
-byte range is hashed (together with its offset and length), and every ``FANOUT`` neighbouring ranges are hashed into the
-range above them, up to one root for each file and one over all files. Two replicas are the same if their roots are. If
+byte range is hashed (together with its offset and length), after them what the file holds beyond its records, up to its true
+end, and every ``FANOUT`` neighbouring ranges are hashed into the range above them, up to one root for each file and one over
+all files and their names. A replica's files are those that lie in its folder and those of the index. Two replicas are the same if their roots are. If
 not, the audit goes down only from ranges that differ, level by level, and ends at the damaged records.
 
 Defined results: a null page body is empty; a null URL gives a record without target; line breaks in URLs are escaped;
-null ids and repeated rows are records like others; a missing or cut file's ranges count as different; an empty table
+null ids and repeated rows are records like others; a missing or cut file's ranges count as different; bytes after the last
+record, and a file that only one replica has, are a range with the number after the last record's; files whose names start
+with an underscore are unfinished and not looked at; an empty table
 gives no files, equal roots and an empty result; columns other than those named are not read.
 """
 
@@ -66,7 +69,10 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
                     rows.append((name, number, offset, len(member), i, len(body), hashlib.sha256(body).hexdigest()))
                     number, offset = number + 1, offset + len(member)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names=names)
-        fs.move(own, f"{root}/{name}")
+        if number:
+            fs.move(own, f"{root}/{name}")
+        else:
+            fs.delete_file(own)
 
     names = ["file", "number", "offset", "length", "id", "n_bytes", "payload_sha256"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.string()]
@@ -126,13 +132,34 @@ def parent(start: int, end: int, children: list[bytes]) -> bytes:
     return hashlib.sha256(b"\1" + start.to_bytes(8, "big") + end.to_bytes(8, "big") + b"".join(children)).digest()
 
 
+def tail(start: int, size: int, stream) -> bytes:
+    """The leaf of a file's bytes from ``start`` to its end, read in pieces."""
+    digest = hashlib.sha256(b"\0" + start.to_bytes(8, "big") + max(0, size - start).to_bytes(8, "big"))
+    if size > start:
+        stream.seek(start)
+        while chunk := stream.read(1 << 22):
+            digest.update(chunk)
+    return digest.digest()
+
+
+def files(folder: str) -> list[str]:
+    """The names of a replica's files, with folders below it; a file for each writing task, so a short list."""
+    from pyarrow.fs import FileSelector, FileType
+
+    fs, root = filesystem(folder)
+    found = fs.get_file_info(FileSelector(root, allow_not_found=True, recursive=True))
+    return sorted(x.path[len(root.rstrip("/")) + 1 :] for x in found if x.type == FileType.File and not x.base_name.startswith("_"))
+
+
 def trees(index: DataFrame, folder: str) -> DataFrame:
-    """(file, level, node, start, end, hash) of a replica, as a written table: level 0 are the records, the highest of a file is its root."""
-    ordered = index.select("file", "number", "offset", "length").repartition("file").sortWithinPartitions("file", "number")
+    """(file, level, node, start, end, hash) of a replica, as a written table: level 0 are the records and the file's tail, the highest of a file is its root."""
+    listed = index.sparkSession.createDataFrame([(f,) for f in files(folder)], "file string")
+    other = listed.join(index.select("file").distinct(), "file", "left_anti").select("file", *[F.lit(None).cast("long").alias(c) for c in ("number", "offset", "length")])
+    ordered = index.select("file", "number", "offset", "length").unionByName(other).repartition("file").sortWithinPartitions("file", "number")
 
     def run(batches):
         fs, root = filesystem(folder)
-        name, stream = None, None
+        name, stream, end = None, None, 0
         open_nodes: list[list] = []  # of every level, the children that wait for their parent
         counts: list[int] = []
         made: list[tuple] = []
@@ -153,6 +180,10 @@ def trees(index: DataFrame, folder: str) -> DataFrame:
             put(level + 1, kids[0][0], kids[-1][1], parent(kids[0][0], kids[-1][1], [k[2] for k in kids]))
 
         def finish() -> None:
+            if name is None:
+                return
+            size = stream.size() if stream is not None else 0
+            put(0, end, max(end, size), tail(end, size, stream))
             level = 0
             while level < len(counts) and (counts[level] > 1 or level + 1 < len(counts)):
                 if open_nodes[level]:
@@ -169,16 +200,19 @@ def trees(index: DataFrame, folder: str) -> DataFrame:
                 if f != name:
                     finish()
                     counts, open_nodes = [], []
-                    name = f
+                    name, end = f, 0
                     try:
                         stream = fs.open_input_file(f"{root}/{f}")
                     except FileNotFoundError:
                         stream = None
+                if offset is None:
+                    continue
                 stored = b""
                 if stream is not None:
                     stream.seek(offset)
                     stored = stream.read(length)
-                put(0, offset, offset + length, leaf(offset, stored))
+                end = offset + length
+                put(0, offset, end, leaf(offset, stored))
             yield out()
         finish()
         yield out()
@@ -196,30 +230,31 @@ def roots(tree: DataFrame) -> DataFrame:
 def archive_root(tree: DataFrame) -> str | None:
     """One hash over all files' roots in the order of their names, by two layers of groups."""
     r = roots(tree).select("file", F.hex("hash").alias("hash"))
-    groups = r.groupBy(F.regexp_extract("file", r"(\d+)\d{3}\.", 1).alias("group")).agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("file", "hash"))), lambda x: x["hash"])), 256).alias("hash"))
+    groups = r.groupBy(F.regexp_extract("file", r"(\d+)\d{3}\.", 1).alias("group")).agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("file", "hash"))), lambda x: F.concat(x["file"], F.lit(" "), x["hash"], F.lit("\n")))), 256).alias("hash"))
     rows = groups.orderBy("group").collect()  # a row for every thousand files
     return hashlib.sha256("".join(x["hash"] for x in rows).encode()).hexdigest() if rows else None
 
 
 def audit(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(file, number, start, end) of the records in which two replicas' trees differ."""
+    """(file, number, start, end) of the records, and of other bytes and files, in which two replicas' trees differ."""
     keys = ["file", "level", "node"]
     both = one.select(*keys, "start", "end", F.col("hash").alias("h1"))
-    other = two.select(*keys, F.col("hash").alias("h2"))
-    height = one.agg(F.max("level").alias("n")).collect()[0]["n"]
-    if height is None or archive_root(one) == archive_root(two):
+    other = two.select(*keys, F.col("end").alias("end2"), F.col("hash").alias("h2"))
+    if archive_root(one) == archive_root(two):
         return both.where(F.lit(False)).select("file", F.col("node").alias("number"), "start", "end")
     tops = roots(one).select("file", "level")
+    added = two.where("level = 0").join(tops.select("file"), "file", "left_anti").select("file", "node", "start", "end")
+    height = one.agg(F.max("level").alias("n")).collect()[0]["n"]
     suspects = None
-    for level in range(height, -1, -1):
+    for level in range(-1 if height is None else height, -1, -1):
         nodes = both.where(F.col("level") == level)
         look = tops.where(F.col("level") == level).select("file", F.lit(0).cast("long").alias("node"))
         if suspects is not None:
             below = suspects.select("file", F.explode(F.sequence(F.col("node") * FANOUT, F.col("node") * FANOUT + FANOUT - 1)).alias("node"))
             look = look.unionByName(below)
         nodes = nodes.join(look, ["file", "node"]).join(other.where(F.col("level") == level).drop("level"), ["file", "node"], "left")
-        suspects = written(nodes.where(~F.col("h1").eqNullSafe(F.col("h2"))).select("file", "node", "start", "end"))
-    return suspects.withColumnRenamed("node", "number")
+        suspects = written(nodes.where(~F.col("h1").eqNullSafe(F.col("h2"))).select("file", "node", "start", F.greatest("end", "end2").alias("end")))
+    return (added if suspects is None else suspects.unionByName(added)).withColumnRenamed("node", "number")
 
 
 def drill(pages: DataFrame, damaged, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
