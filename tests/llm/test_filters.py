@@ -49,6 +49,21 @@ def test_mined_rules_block_what_goes_with_bad_labels(spark):
     assert {r["page_id"] for r in got if r["matched"]} == {i for i in range(400) if i % 4 == 0}
 
 
+@pytest.mark.parametrize("bad_of_ten", [1, 4, 6, 9])
+def test_rules_are_mined_at_every_share_of_bad_pages(spark, bad_of_ten):
+    urls = [f"http://{'casino' if i % 10 < bad_of_ten else 'news'}.net/{i}" for i in range(300)]
+    marks = [(i, int(i % 10 >= bad_of_ten), 0) for i in range(300)]
+    got = url_rules.judge(pages(spark, urls), labels(spark, marks), RULES, support=0.02).collect()
+    assert all((r["verdict"] == "block") == ("casino" in r["host"]) for r in got) and len(got) == 300
+
+
+def test_all_pages_bad_or_none(spark):
+    urls = [f"http://a.net/{i}" for i in range(50)]
+    for quality in (0, 1):
+        got = url_rules.judge(pages(spark, urls), labels(spark, [(i, quality, 0) for i in range(50)]), RULES, support=0.02).collect()
+        assert all(r["verdict"] == "allow" for r in got)
+
+
 def test_no_pages(spark):
     assert url_rules.judge(pages(spark, []), labels(spark, [(1, 0, 0)]), RULES).collect() == []
 
