@@ -45,14 +45,14 @@ def sentencepiece():
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_words_encode_as_whole_texts(path):
-    e, texts = WordEncoder(path, memo_limit=500), fuzz(4000)
+    e, texts = WordEncoder(path, memo_limit=50_000), fuzz(4000)
     want = [np.array(x.ids, "<u2").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert e.encode(texts) == want
     assert e.encode(texts) == want
 
 
 def test_piece_codec_is_the_library():
-    c, sp = piece_codec.PieceCodec(MODEL, memo_limit=500), sentencepiece()
+    c, sp = piece_codec.PieceCodec(MODEL, memo_limit=50_000), sentencepiece()
     texts = fuzz(4000)
     for t, (n, a, b) in zip(texts, c.digests(texts), strict=True):
         ids = sp.encode(t, add_eos=True)

@@ -2,13 +2,14 @@
 
 Every document gets its base figures. Its lines, lower-cased and with single spaces, are hashed; for each host and line
 the distinct documents are counted, and a line in more than ``max_documents`` of them is boilerplate. What is left of a
-document after its boilerplate lines go decides whether it stays: less than ``min_share`` of its words is depleted.
+document after its boilerplate lines go decides whether it stays: with less than ``min_share`` of its words, or fewer than
+``min_words``, it is depleted.
 
 Copies of one document are not different documents: those with the same lines in the same order, but for case and spaces,
 count as one. So a text that was copied a thousand times is not taken for boilerplate, and a template's lines are.
 
-Both counts are grouped after partial sums, so a line or host that is everywhere loads no single task; the join with
-boilerplate lines is left to skew handling, as neither side is grouped before or after it by that key.
+Counts are grouped after partial sums, so a line or host that is everywhere loads no single task; the join of lines with
+boilerplate ones is salted, as a boilerplate line is a hot key by its nature.
 
 Defined results: a null text has no words; documents without a word or line fail the base rules; a null host is a host;
 null ids and repeated rows come out as they went in; an empty table gives an empty result; other columns pass through.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import fresh, salted, written
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _SYMBOLS = r"[#*$%&|<>]"
@@ -67,14 +68,19 @@ def line_counts(table: DataFrame) -> DataFrame:
     return d.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def judged(table: DataFrame, max_documents: int = 20, min_share: float = 0.3) -> DataFrame:
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With the host as two columns that are never null, so that a null host meets a null host in a plain join."""
+    return rows.withColumns({"no_host": F.col("host").isNull(), "host": F.coalesce(F.col("host").cast("string"), F.lit(""))})
+
+
+def judged(table: DataFrame, max_documents: int = 20, min_share: float = 0.5, min_words: int = 20) -> DataFrame:
     """The rows of ``facts`` without their lines, with base_failed, removed_words, common (their boilerplate lines' hashes, or null) and kept."""
-    common = line_counts(table).where(F.col("documents") > max_documents).select(F.col("host").alias("h"), F.col("hash").alias("x"))
-    lines = table.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    lost = lines.join(common, lines.host.eqNullSafe(common.h) & (lines.hash == common.x)).groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_set("hash")).alias("common"))
+    common = _keyed(line_counts(table).where(F.col("documents") > max_documents)).select("no_host", "host", "hash")
+    lines = _keyed(table.select("row", "host", F.explode("lines").alias("line"))).select("row", "no_host", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
+    lost = salted(lines, common, ["no_host", "host", "hash"], F.col("row")).groupBy(F.col("row").alias("r")).agg(F.sum("words").alias("removed_words"), F.sort_array(F.collect_set("hash")).alias("common"))
     d = table.drop("lines").join(lost, F.col("row") == F.col("r"), "left").drop("r").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).withColumn("base_failed", base_failed())
     left = F.col("n_words") - F.col("removed_words")
-    return d.withColumn("kept", ~F.col("base_failed") & (left >= min_share * F.col("n_words")))
+    return d.withColumn("kept", ~F.col("base_failed") & (left >= min_share * F.col("n_words")) & (left >= min_words))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
@@ -83,23 +89,28 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
+def _same(docs: DataFrame, other: DataFrame, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, dict, Column]:
+    """``other`` (id, host, print, ...) under names that ``docs`` doesn't have, the names, and when rows of the two are the same document."""
+    name = {c: fresh(f"_{c}", docs.columns) for c in other.columns}
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(name["id"])) & F.col(f"`{host_col}`").eqNullSafe(F.col(name["host"])) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col(name["print"]))
+    return other.select(*[F.col(c).alias(n) for c, n in name.items()]), name, same
+
+
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows that ``assess`` keeps, with their columns as they were. Equal ids, hosts and texts share their fate."""
     d = judged(written(facts(docs, id_col, text_col, host_col)), **limits)
-    out = d.where(~F.col("kept")).select(F.col("id").alias("_i"), F.col("host").alias("_h"), F.col("print").alias("_p")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(host_col).eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_p"))
+    out, _, same = _same(docs, d.where(~F.col("kept")).select("id", "host", "print").distinct(), id_col, text_col, host_col)
     return docs.join(out, same, "left_anti")
 
 
 def clean_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of ``keep_good`` without their boilerplate lines; the other columns as they were."""
     d = judged(written(facts(docs, id_col, text_col, host_col)), **limits)
-    other = d.where(~F.col("kept") | F.col("common").isNotNull()).select(F.col("id").alias("_i"), F.col("host").alias("_h"), F.col("print").alias("_p"), F.col("kept").alias("_kept"), F.col("common").alias("_common")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(host_col).eqNullSafe(F.col("_h")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_p"))
-    left = F.filter(F.split(text_col, "\n", -1), lambda x: ~F.array_contains("_common", line_hash(plain(x))))
-    text = F.when(F.col("_common").isNull(), F.col(text_col)).otherwise(F.concat_ws("\n", left))
-    good = docs.join(other, same, "left").where(F.coalesce("_kept", F.lit(True)))
-    return good.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    other, name, same = _same(docs, d.where(~F.col("kept") | F.col("common").isNotNull()).select("id", "host", "print", "kept", "common").distinct(), id_col, text_col, host_col)
+    left = F.filter(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x: ~F.array_contains(name["common"], line_hash(plain(x))))
+    text = F.when(F.col(name["common"]).isNull(), F.col(f"`{text_col}`")).otherwise(F.concat_ws("\n", left))
+    good = docs.join(other, same, "left").where(F.coalesce(name["kept"], F.lit(True)))
+    return good.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_documents: int = 20) -> DataFrame:

@@ -28,7 +28,7 @@ _CACHE: dict = {}
 
 
 class PieceCodec:
-    def __init__(self, path: str, memo_limit: int = 300_000, pair_limit: int = 2_000_000):
+    def __init__(self, path: str, memo_limit: int = 100 << 20, pair_limit: int = 1_000_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -68,7 +68,7 @@ class PieceCodec:
         self.pairs: dict[int, bool] = {}
         self.own: dict[int, bool] = {}
         self.pair_limit = pair_limit
-        self.memo = Memo(self._fill, memo_limit)
+        self.memo = Memo(self._fill, memo_limit, lambda v: len(v[0]) + len(v[2]) + 200)
 
     def merged(self, text: str) -> list[str]:
         """The merge process itself, on a short text: the best-scored neighbours first, the leftmost of equals."""

@@ -71,20 +71,16 @@ x AS (SELECT *, CASE WHEN len(words) > 8 THEN list_transform(range(1, len(words)
 e AS (SELECT doc_id, unnest(wins) AS win, generate_subscripts(wins, 1) AS i FROM x),
 r AS (SELECT doc_id, i FROM e QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
 rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM r) GROUP BY 1),
-l AS (SELECT doc_id, source, unnest(list_transform(lines, lambda y: lower(trim(regexp_replace(y, '[\x20\x09-\x0D]+', ' ', 'g'))))) AS line FROM x),
-h AS (SELECT doc_id, source, ('0x' || substr(md5(line), 1, 15))::BIGINT AS hash, len(string_split(line, ' ')) AS n FROM l),
-u AS (SELECT DISTINCT doc_id, source, hash FROM h),
-m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hash) AS k FROM u),
-o AS (SELECT m.source, m.hash, coalesce(CASE WHEN m.k = 1 THEN b.hash ELSE a.hash END, 0) AS other FROM m
-        LEFT JOIN m a ON a.doc_id = m.doc_id AND a.k = 1 LEFT JOIN m b ON b.doc_id = m.doc_id AND b.k = 2),
-c AS (SELECT source, hash FROM o GROUP BY 1, 2 HAVING count(DISTINCT other) > 20),
-lost AS (SELECT doc_id, sum(n) AS n FROM h JOIN c USING (source, hash) GROUP BY 1),
+p AS (SELECT doc_id, source, list_transform(lines, lambda y: lower(trim(regexp_replace(y, '[\x20\x09-\x0D]+', ' ', 'g')))) AS plain FROM x),
+h AS (SELECT doc_id, source, line, len(string_split(line, ' ')) AS n FROM (SELECT doc_id, source, unnest(plain) AS line FROM p)),
+c AS (SELECT source, line FROM (SELECT source, array_to_string(plain, chr(10)) AS document, unnest(plain) AS line FROM p) GROUP BY 1, 2 HAVING count(DISTINCT document) > 20),
+lost AS (SELECT doc_id, sum(n) AS n FROM h JOIN c ON h.line = c.line AND h.source IS NOT DISTINCT FROM c.source GROUP BY 1),
 f AS (SELECT x.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda y: length(y))), 0)::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS removed_words
       FROM x LEFT JOIN rep USING (doc_id) LEFT JOIN lost USING (doc_id)),
 g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
-SELECT *, NOT base_failed AND n_words - removed_words >= 0.3 * n_words AS kept FROM g
+SELECT *, NOT base_failed AND n_words - removed_words >= 0.5 * n_words AND n_words - removed_words >= 20 AS kept FROM g
 """
 
 OP6_SQL = r"""

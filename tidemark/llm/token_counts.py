@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame, functions as F
 from .common import strings
 from .vocabularies import encoder, piece_processor
 
-#: Characters of text handed to the library at once, and the length from which a text is split.
-BATCH_CHARS = 1 << 19
-SPLIT_CHARS = 1 << 16
+#: Bytes of text in UTF-8 handed to the library at once, and the size from which a text is split.
+BATCH_BYTES = 1 << 19
+SPLIT_BYTES = 1 << 16
 
 
-def safe_pieces(text: str, limit: int = SPLIT_CHARS) -> Iterator[str]:
-    """Pieces of a text whose SentencePiece token counts add up to the text's.
+def safe_pieces(text: str, limit: int) -> Iterator[str]:
+    """Pieces of a text, of ``limit`` characters or a little more, whose SentencePiece token counts add up to the text's.
 
     A cut takes the place of one space that follows a character other than white space or the space mark: no piece
     of the vocabulary (checked on loading) has the mark after another character, so no token spans the cut, and the
@@ -53,7 +53,7 @@ def _piece_counts(path: str, texts: list[str]) -> list[int]:
     counts = [0] * len(texts)
     pieces: list[str] = []
     owners: list[int] = []
-    size = 0
+    held = 0
 
     def flush() -> None:
         for i, ids in zip(owners, sp.encode(pieces, num_threads=1), strict=True):
@@ -62,13 +62,17 @@ def _piece_counts(path: str, texts: list[str]) -> list[int]:
         owners.clear()
 
     for i, t in enumerate(texts):
-        for p in safe_pieces(t) if _SAFE[path] and len(t) > SPLIT_CHARS else (t,):
+        size = len(t) if t.isascii() else len(t.encode())
+        # as many characters as SPLIT_BYTES are by the text's own mean
+        parts = safe_pieces(t, SPLIT_BYTES * len(t) // size) if _SAFE[path] and size > SPLIT_BYTES else (t,)
+        for p in parts:
+            n = len(p) if p.isascii() else len(p.encode())
+            if pieces and held + n > BATCH_BYTES:
+                flush()
+                held = 0
             pieces.append(p)
             owners.append(i)
-            size += len(p)
-            if size > BATCH_CHARS:
-                flush()
-                size = 0
+            held += n
     if pieces:
         flush()
     return counts

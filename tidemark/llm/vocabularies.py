@@ -38,7 +38,7 @@ def byte_names() -> list[tuple[str, str]]:
 class WordEncoder:
     """ids of whole texts as little-endian bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, memo_limit: int = 600_000):
+    def __init__(self, path: str, memo_limit: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
