@@ -1,5 +1,7 @@
 """URL rules, quality rules and the classifier."""
 
+import itertools
+import math
 import re
 
 import numpy as np
@@ -36,6 +38,44 @@ def test_listed_rules(spark):
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == [*urls.values(), ("", "", None, "allow")]
 
 
+def url_tokens(url):
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+    if not host:
+        return set()
+    query = re.match(r"[^?#]*\?([^#]*)", url)
+    keys = [re.match("[^=]*", k).group() for k in query.group(1).split("&")] if query else []
+    parts = [("host:", host.translate({c: c + 32 for c in range(65, 91)}).split(".")), ("path:", re.split("[^a-zA-Z0-9]+", path.lower())), ("query:", keys)]
+    return {kind + re.sub("[0-9]+", "0", x) for kind, xs in parts for x in xs if x} | ({"fragment"} if "#" in url else set())
+
+
+def brute_rules(urls, bad, support=0.002, least=20, confidence=0.6, lift=2.0):
+    """Every set of a URL's tokens, counted on its own; none of the URLs has more tokens than a rule can."""
+    known = {i: url_tokens(urls[i]) for i in bad if url_tokens(urls[i])}
+    n, share = len(known), sum(bad[i] for i in known) / max(len(known), 1)
+    counts, hits = {}, {}
+    for i, tokens in known.items():
+        assert len(tokens) <= 10
+        for k in range(1, len(tokens) + 1):
+            for c in itertools.combinations(sorted(tokens), k):
+                counts[c] = counts.get(c, 0) + 1
+                hits[c] = hits.get(c, 0) + bad[i]
+    floor = math.ceil(max(support * n, least))
+    return {c for c, h in hits.items() if h >= floor and h / counts[c] >= confidence and (h / counts[c] >= lift * share or share < 1 and h / counts[c] >= (1 + share) / 2)}
+
+
+def check_rules(spark, urls, marks, **how):
+    bad = {i: q == 0 for i, q, _ in marks if i is not None and q is not None}
+    rules = brute_rules(urls, bad, **how)
+    got = url_rules.judge(pages(spark, urls), labels(spark, marks), RULES, **how).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        matched = sum(set(c) <= url_tokens(urls[r["page_id"]]) for c in rules) if r["rule"] is None else 0
+        assert r["matched"] == matched
+        assert r["rule"] is not None or r["verdict"] == ("block" if matched else "allow")
+    return rules, got
+
+
 def test_mined_rules_block_what_goes_with_bad_labels(spark):
     urls, marks = [], []
     for i in range(400):
@@ -43,10 +83,46 @@ def test_mined_rules_block_what_goes_with_bad_labels(spark):
         urls.append(f"http://{'casino' if bad else 'news'}{'' if i % 8 else '.blog'}.net/{'win' if bad else 'read'}/{i}?ref=x")
         if i < 200:
             marks.append((i, 0 if bad else 1, 0))
-    got = url_rules.judge(pages(spark, urls), labels(spark, [*marks, (None, 0, 0), (3, None, 0)]), RULES, support=0.05).collect()
-    # brute force: every set of up to two tokens
-    assert all((r["verdict"] == "block") == ("casino" in r["host"]) for r in got)
-    assert {r["page_id"] for r in got if r["matched"]} == {i for i in range(400) if i % 4 == 0}
+    rules, got = check_rules(spark, urls, [*marks, (None, 0, 0)])
+    assert ("host:casino",) in rules and all((r["verdict"] == "block") == ("casino" in r["host"]) for r in got)
+
+
+def test_rules_at_the_querys_parameters_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in "abcdefghij"]
+    urls, marks = [], []
+    for i in range(1500):
+        host, path, key = (str(rng.choice(words)) for _ in range(3))
+        urls.append(f"http://{host}.Net/{path}/{i}?{key}=1" + ("#top" if rng.random() < 0.3 else ""))
+        risky = (host == "wa") + (path == "wb" and key == "wc") * 2 + (host == "wd" and "#" in urls[-1])
+        marks.append((i, int(rng.random() > (0.1, 0.65, 0.95)[min(risky, 2)]), 0))
+    rules, got = check_rules(spark, urls, marks[:1200])
+    assert {len(c) for c in rules} >= {1, 2} and any(r["verdict"] == "block" for r in got)
+    assert check_rules(spark, urls, marks[:90], least=40)[0] == set()
+
+
+def test_real_pages_are_judged_as_by_brute_force(spark):
+    folder = "/root/testdata/sf0.1"
+    p = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    bad = {r["doc_id"]: r["quality"] == 0 for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["doc_id"] in p}
+    rules = brute_rules(p, bad)
+    got = url_rules.judge(spark.read.parquet(f"{folder}/pages.parquet"), spark.read.parquet(f"{folder}/labels.parquet"), RULES).collect()
+    assert all(r["matched"] == (sum(set(c) <= url_tokens(p[r["page_id"]]) for c in rules) if r["rule"] is None else 0) for r in got)
+
+
+def test_long_urls_cost_no_exponential_mining(spark):
+    long = "/".join(f"t{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    urls = [f"http://casino.net/{long}/{i}" if i % 3 == 0 else f"http://news{i}.net/{i}" for i in range(300)]
+    got = url_rules.judge(pages(spark, urls), labels(spark, [(i, int(i % 3 != 0), 0) for i in range(200)]), RULES).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] % 3 == 0) for r in got)
+    few = url_rules.judge(pages(spark, urls), labels(spark, [(i, int(i % 3 != 0), 0) for i in range(30)]), RULES).collect()
+    assert all(r["verdict"] == "allow" for r in few)  # ten bad pages show nothing
+    beyond, url_rules.FEW_RULES = url_rules.FEW_RULES, 0
+    try:
+        assert sorted(url_rules.judge(pages(spark, urls), labels(spark, [(i, int(i % 3 != 0), 0) for i in range(200)]), RULES).collect()) == sorted(got)
+    finally:
+        url_rules.FEW_RULES = beyond
+    assert url_rules.judge(pages(spark, ["http://a.net/" + "x" * 200_000]), labels(spark, []), RULES).first()["verdict"] == "allow"
 
 
 @pytest.mark.parametrize("bad_of_ten", [1, 4, 6, 9])
@@ -152,6 +228,25 @@ def test_pipeline_goes_on_without_boilerplate_lines(spark):
     assert {(r["doc_id"], r["text"]) for r in got.collect()} <= cut
 
 
+def test_columns_that_clash_with_internal_ones(spark):
+    shared = [words(k, 15) for k in range(3)]
+    rows = [(i, "\n".join([*shared, words(1000 + i, 30 if i % 2 else 8)]), "h", i, "a", "b", True, ["c"], 5, "d") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _id long, _host string, _print string, _kept boolean, _common array<string>, row long, `Host` string")
+    kept, clean = line_rules.keep_good(d, min_share=0.3), line_rules.clean_good(d, min_share=0.3)
+    assert kept.schema == clean.schema == d.schema
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in clean.collect()) == list(range(1, 30, 2))
+    assert {r["text"] for r in clean.collect()} == {words(1000 + i, 30) for i in range(1, 30, 2)}
+
+
+def test_a_null_host_is_a_host_and_one_line_can_be_very_long(spark):
+    shared = words(1, 15)
+    rows = [(i, f"{shared}\n{words(1000 + i, 40)}", None if i % 2 else "", "") for i in range(60)]
+    rows += [(100, "word " * 200_000, None, ""), (101, "x" * 1_000_000, None, "")]
+    got = {r["doc_id"]: r for r in line_rules.assess(docs(spark, rows)).collect()}
+    assert all(got[i]["removed_words"] == 15 and got[i]["kept"] for i in range(60))
+    assert got[100]["n_words"] == 200_000 and got[100]["base_failed"] and got[101]["word_chars"] == 1_000_000
+
+
 def test_no_documents(spark):
     assert line_rules.assess(docs(spark, [])).collect() == []
 
