@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -34,6 +35,8 @@ MAGIC = b"TMSSTBL1"
 FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
+#: Bytes of text of a shard, at most in the mean and at least where there are partitions enough.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 1 << 20
 
 
 def key_of(value) -> bytes:
@@ -69,23 +72,28 @@ def read_varint(raw: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def bloom_bits(key: bytes, size: int) -> list[int]:
+def key_hashes(key: bytes) -> tuple[int, int]:
     import xxhash
 
     h = xxhash.xxh3_128_intdigest(key)
-    return [((h & 0xFFFFFFFFFFFFFFFF) + k * (h >> 64)) % size for k in range(HASHES)]
+    return h & 0xFFFFFFFFFFFFFFFF, h >> 64
+
+
+def bloom_bits(key: bytes, size: int) -> list[int]:
+    one, two = key_hashes(key)
+    return [(one + k * two) % size for k in range(HASHES)]
 
 
 class ShardWriter:
-    """Writes entries that come in key order to a binary stream."""
+    """Writes entries that come in key order to a binary stream. Of a key, 16 bytes of hash stay in memory for the filter."""
 
-    def __init__(self, out, width: int):
+    def __init__(self, out, width: int, block_bytes: int = BLOCK_BYTES):
         import zstandard
 
-        self.out, self.width, self.zip = out, width, zstandard.ZstdCompressor(level=1)
+        self.out, self.width, self.block_bytes, self.zip = out, width, block_bytes, zstandard.ZstdCompressor(level=1)
         self.block = bytearray()
         self.index = bytearray()
-        self.keys: list[bytes] = []
+        self.hashes = array("Q")
         self.last = self.first = b""
         self.offset = self.tokens = self.before = 0
 
@@ -98,9 +106,9 @@ class ShardWriter:
         self.block += varint(shared) + varint(len(key) - shared) + varint(len(ids)) + key[shared:]
         self.block += ids
         self.last = key
-        self.keys.append(key)
+        self.hashes.extend(key_hashes(key))
         self.tokens += len(ids) // self.width
-        if len(self.block) >= BLOCK_BYTES:
+        if len(self.block) >= self.block_bytes:
             self.flush()
 
     def flush(self) -> None:
@@ -113,13 +121,15 @@ class ShardWriter:
 
     def close(self) -> None:
         self.flush()
-        size = max(64, len(self.keys) * BITS_PER_KEY + 7 & ~7)
-        bits = np.zeros(size, np.uint8)
-        for k in self.keys:
-            bits[bloom_bits(k, size)] = 1
-        bloom = np.packbits(bits, bitorder="little").tobytes()
-        self.out.write(bytes(self.index) + bloom)
-        self.out.write(FOOTER.pack(self.offset, len(self.index), self.offset + len(self.index), len(bloom), len(self.keys), self.tokens, self.width, HASHES, MAGIC))
+        documents = len(self.hashes) // 2
+        size = max(64, documents * BITS_PER_KEY + 7 & ~7)
+        bloom = np.zeros(size // 8, np.uint8)
+        halves = np.frombuffer(self.hashes, np.uint64).reshape(-1, 2) % np.uint64(size)  # so the sums below stay in 64 bits
+        for k in range(HASHES):
+            at = (halves[:, 0] + np.uint64(k) * halves[:, 1]) % np.uint64(size)
+            np.bitwise_or.at(bloom, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        self.out.write(bytes(self.index) + bloom.tobytes())
+        self.out.write(FOOTER.pack(self.offset, len(self.index), self.offset + len(self.index), len(bloom), documents, self.tokens, self.width, HASHES, MAGIC))
 
 
 class Shard:
@@ -185,7 +195,7 @@ class Shard:
 
 
 class Shards:
-    """What was written: a row of the manifest for each shard, in key order."""
+    """What was written: a row of the manifest for each shard, in key order. A shard is some hundred megabytes, so the manifest is short."""
 
     def __init__(self, spark: SparkSession, rows: list[dict], id_type: pa.DataType, id_col: str):
         self.spark, self.id_type, self.id_col = spark, id_type, id_col
@@ -206,27 +216,36 @@ class Shards:
         return out
 
     def read(self) -> DataFrame:
-        """(id, start, n_tokens, ids_crc32) of every document, from the files; a task for each shard."""
-        rows, name, kind = self.rows, self.id_col, self.id_type
+        """(id, start, n_tokens, ids_crc32) of every document, from the files; a task for each shard, which it reads block by block."""
+        name, kind = self.id_col, self.id_type
         text = pa.types.is_string(kind)
 
         def run(batches):
             for batch in batches:
-                for k in batch.column(0).to_pylist():
-                    shard, at, out = Shard(rows[k]["path"]), rows[k]["start"], []
-                    for key, ids in shard.scan():
-                        n = len(ids) // shard.width
-                        out.append((value_of(key, text), at, n, zlib.crc32(np.frombuffer(ids, f"<u{shard.width}").astype("<u4").tobytes())))
-                        at += n
+                for path, at in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
+                    shard = Shard(path)
+                    for b in range(len(shard.blocks)):
+                        out = []
+                        for key, ids in shard.entries(b):
+                            n = len(ids) // shard.width
+                            out.append((value_of(key, text), at, n, zlib.crc32(np.frombuffer(ids, f"<u{shard.width}").astype("<u4").tobytes())))
+                            at += n
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [kind, *[pa.int64()] * 3], strict=True)], names=[name, "start", "n_tokens", "ids_crc32"])
                     shard.close()
-                    for i in range(0, len(out), 10_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), [kind, *[pa.int64()] * 3], strict=True)], names=[name, "start", "n_tokens", "ids_crc32"])
 
         from pyspark.sql.pandas.types import from_arrow_type
 
         schema = f"`{name}` {from_arrow_type(kind).simpleString()}, start long, n_tokens long, ids_crc32 long"
-        n = len(rows)
-        return self.spark.range(0, n, 1, max(n, 1)).mapInArrow(run, schema)
+        n = len(self.rows)
+        files = self.spark.createDataFrame([(k, r["path"], r["start"]) for k, r in enumerate(self.rows)], "place int, path string, start long")
+        return files.repartitionById(max(n, 1), "place").mapInArrow(run, schema)
+
+
+def shard_count(df: DataFrame, text_col: str) -> int:
+    """As many shards as ``SHARD_BYTES`` of text ask for; of smaller tables as many as there are shuffle partitions, but no shard below ``LEAST_BYTES``."""
+    size = df.agg(F.sum(F.octet_length(text_col))).collect()[0][0] or 0
+    parallel = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-size // SHARD_BYTES), min(parallel, -(-size // LEAST_BYTES)))
 
 
 def write_shards(df: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Shards:
@@ -259,6 +278,6 @@ def write_shards(df: DataFrame, vocabulary: str, end_id: int, folder: str | None
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     hashed = F.xxhash64("_text")
-    ranged = rows.repartitionByRange(F.col("_id").asc_nulls_first(), hashed).sortWithinPartitions(F.col("_id").asc_nulls_first(), hashed)
+    ranged = rows.repartitionByRange(shard_count(df, text_col), F.col("_id").asc_nulls_first(), hashed).sortWithinPartitions(F.col("_id").asc_nulls_first(), hashed)
     made = ranged.mapInArrow(run, "part long, path string, tokens long, low binary, high binary").collect()  # a row for each shard
     return Shards(spark, [{**r.asDict(), "low": bytes(r["low"]), "high": bytes(r["high"])} for r in made], stored_type(df, id_col), id_col)
