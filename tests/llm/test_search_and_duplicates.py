@@ -79,6 +79,56 @@ def test_one_large_group_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_sets_are_looked_up_where_large_groups_meet(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("IN_PLACE", 0), ("HOT", 3), ("TASK_PAIRS", 50)):
+        monkeypatch.setattr(near_dup, name, value)
+    asked = []
+    monkeypatch.setattr(near_dup.SetFiles, "write", classmethod(lambda cls, sets, folder, f=near_dup.SetFiles.write.__func__: asked.append(f(cls, sets, folder, 20)) or asked[-1]))
+    rows = corpus(seed=21, groups=16, size=16)
+    got = near_dup.components(docs(spark, [(i, t, "k", "r") for i, t in rows]).repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+    assert asked[0].files == 16
+
+
+def test_set_files_find_every_set(spark):
+    made = spark.createDataFrame([(i * 7, i % 50, np.arange(i % 50, dtype="<u8").tobytes()) for i in range(3000)], "id long, n long, hashes binary")
+    files = near_dup.SetFiles.write(made, common.shared_folder(spark), per_file=60)
+    files.CACHE_BYTES, files.OPEN = 1000, 3
+    assert files.files == 50 and all(np.array_equal(files.get(i * 7), np.arange(i % 50)) for i in range(3000)) and len(files.open) == 3
+
+
+def test_recall_near_the_threshold(spark):
+    """Pairs of texts about 0.75 alike, each on its own: all links, and no others."""
+    rng = random.Random(77)
+    rows, want = [], {}
+    for k in range(3000):
+        n = rng.randint(30, 150)
+        a = [f"{k}w{i}" for i in range(n)]
+        b = list(a)
+        for i in rng.sample(range(n), max(1, round(n * rng.uniform(0.02, 0.035)))):
+            b[i] = "x" + b[i]
+        x, y = shingles(" ".join(a)), shingles(" ".join(b))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want[2 * k + 1] = 2 * k if 100 * len(x & y) >= 75 * len(x | y) else 2 * k + 1
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.components(docs(spark, [(i, t, "k", "r") for i, t in rows])).collect()}
+    assert 1000 < sum(i != c for i, c in want.items()) < 2900 and all(got[i] == c for i, c in want.items())
+
+
+def test_a_hub_with_half_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HOT", 50)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[: i % 99], f"x{i}", *base[i % 99 + 1 :]])) for i in range(600)] + [(600 + i, " ".join(f"{i}y{k}" for k in range(30))) for i in range(600)]
+    d = docs(spark, [(i, t, "k", "r") for i, t in rows])
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.components(d).collect()}
+    assert all(got[i] == 0 for i in range(600)) and all(got[i] == i for i in range(600, 1200))
+
+
+def test_clashing_columns_stay(spark):
+    text = "some words that are long enough to make shingles of"
+    d = spark.createDataFrame([(1, text, 5, "a"), (2, text, 6, "b")], "doc_id long, text string, _id long, _ID_ string")
+    assert [tuple(r) for r in near_dup.keep_one(d).collect()] == [(1, text, 5, "a")]
+
+
 def test_duplicate_edge_cases(spark):
     assert near_dup.components(docs(spark, [])).collect() == []
     text = "some words that are long enough to make shingles of"

@@ -30,15 +30,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_strings, filesystem, shared_folder, written
+from .common import byte_strings, delete_folder, dropped, filesystem, fresh, salted, shared_folder, written
 from .packing import stored_type
+from .sstable import Shard, ShardWriter, key_of
 
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_535
 BLOCK = 512
-SALTS = 16
 IN_PLACE = 256
+#: An id in more pairs than this is verified by several tasks.
+HOT = 2_000
+#: About so many pairs of sketches are compared by a task, so tasks stay alike when the input grows.
+TASK_PAIRS = 4_000_000
 #: A pair is dropped on its registers only if they are e**9 times likelier at another similarity than at the threshold.
 SLACK = 9.0
 
@@ -151,12 +155,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 class SetFiles:
-    """Shingle sets in files of the shared folder, for looking up single sets from a task.
+    """Shingle sets in sorted-string-table shards of the shared folder, for looking up single sets from a task.
 
-    An id's file is its text's crc32 modulo the number of files; beside a file lies an index of ids, offsets and sizes.
+    An id's shard is its text's crc32 modulo the number of shards. A task holds at most ``OPEN`` shards' sparse indexes and
+    filters, and ``CACHE_BYTES`` of sets.
     """
 
-    CACHE_BYTES = 64 << 20
+    CACHE_BYTES, OPEN, BLOCK_BYTES = 64 << 20, 32, 1 << 14
 
     def __init__(self, folder: str, files: int):
         self.folder, self.files = folder, files
@@ -165,63 +170,44 @@ class SetFiles:
         self.held = 0
 
     @classmethod
-    def write(cls, sets: DataFrame, folder: str) -> SetFiles:
-        """From a written table (id, n, hashes)."""
-        files = max(16, -(-sets.count() // 50_000))
-        kind = stored_type(sets, "id")
+    def write(cls, sets: DataFrame, folder: str, per_file: int = 50_000) -> SetFiles:
+        """From a written table (id, n, hashes); a task for each shard."""
+        files = max(16, -(-sets.count() // per_file))
 
         def run(batches):
             from pyspark import TaskContext
 
-            attempt = TaskContext.get().taskAttemptId()
+            context = TaskContext.get()
             fs, root = filesystem(folder)
             fs.create_dir(root, recursive=True)
-            number, out, index, at = None, None, [], 0
-
-            def close() -> None:
-                out.close()
-                table = pa.table({"id": pa.array([x[0] for x in index], kind), "at": pa.array([x[1] for x in index], pa.int64()), "bytes": pa.array([x[2] for x in index], pa.int64())})
-                with fs.open_output_stream(f"{root}/_{attempt}-{number}.index") as o, pa.ipc.new_stream(o, table.schema) as w:
-                    w.write_table(table)
-                fs.move(f"{root}/_{attempt}-{number}", f"{root}/{number}")
-                fs.move(f"{root}/_{attempt}-{number}.index", f"{root}/{number}.index")
-
-            for batch in batches:
-                for f, i, raw in zip(batch.column("file").to_pylist(), batch.column("id").to_pylist(), batch.column("hashes"), strict=True):
-                    if f != number:
-                        if out is not None:
-                            close()
-                        number, index, at = f, [], 0
-                        out = fs.open_output_stream(f"{root}/_{attempt}-{number}")
-                    out.write(raw.as_buffer())
-                    index.append((i, at, len(raw.as_buffer())))
-                    at += len(raw.as_buffer())
-            if out is not None:
-                close()
+            own = f"{root}/_{context.taskAttemptId()}"
+            with fs.open_output_stream(own, compression=None) as out:
+                w = ShardWriter(out, 8, cls.BLOCK_BYTES)
+                for batch in batches:
+                    for i, raw in zip(batch.column("id").to_pylist(), batch.column("hashes"), strict=True):
+                        w.add(key_of(i), raw.as_buffer())
+                w.close()
+            fs.move(own, f"{root}/{context.partitionId()}")
             yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["none"])
 
-        placed = sets.withColumn("file", F.crc32(F.col("id").cast("string").cast("binary")) % files)
-        placed.repartition(files, "file").sortWithinPartitions("file").mapInArrow(run, "none long").count()
+        number = F.crc32(F.col("id").cast("string").cast("binary")) % files
+        sets.repartitionById(files, number.cast("int")).sortWithinPartitions("id").mapInArrow(run, "none long").count()
         return cls(folder, files)
 
     def get(self, i) -> np.ndarray:
         if i in self.sets:
             return self.sets[i]
         f = zlib.crc32(str(i).encode()) % self.files
-        if f not in self.open:
-            fs, root = filesystem(self.folder)
-            with fs.open_input_stream(f"{root}/{f}.index") as o, pa.ipc.open_stream(o) as r:
-                t = r.read_all()
-            self.open[f] = (fs.open_input_file(f"{root}/{f}"), dict(zip(t["id"].to_pylist(), zip(t["at"].to_pylist(), t["bytes"].to_pylist(), strict=True), strict=True)))
-        file, index = self.open[f]
-        at, size = index[i]
-        file.seek(at)
-        got = np.frombuffer(file.read(size), "<u8")
+        shard = self.open.pop(f, None) or Shard(f"{self.folder}/{f}")
+        self.open[f] = shard  # the last in order is the one used last
+        if len(self.open) > self.OPEN:
+            self.open.pop(next(iter(self.open))).close()
+        got = shard.get(i)[0]
         if self.held > self.CACHE_BYTES:
             self.sets.clear()
             self.held = 0
         self.sets[i] = got
-        self.held += size
+        self.held += got.nbytes
         return got
 
 
@@ -238,43 +224,54 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
-def salted(big: DataFrame, small: DataFrame, keys: list[str], by: Column, how: str = "inner") -> DataFrame:
-    """A join whose large side may have hot keys: its rows of one key are dealt to SALTS tasks, the small side's rows repeat."""
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+def with_sets(pairs: DataFrame, sets: DataFrame, column: str, other: str) -> DataFrame:
+    """``pairs`` with the size n_<column> and hashes h_<column> of the set that ``column`` names.
+
+    An id in more than ``HOT`` pairs, such as the smallest id of a large group, is dealt to as many tasks as it has
+    multiples of them, and only its own set is repeated as often.
+    """
+    hot = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select(column, F.ceil(F.col("c") / HOT).cast("int").alias("salts"))
+    dealt = salted(pairs, hot, [column], F.col(other), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit(1), other), "salts").cast("int"), F.lit(0))).drop("salts")
+    mine = sets.select(F.col("id").alias(column), F.col("n").alias(f"n_{column}"), F.col("hashes").alias(f"h_{column}")).join(hot, column, "left")
+    mine = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(mine, [column, "salt"]).drop("salt")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose full sets have 3/4 of their union in common."""
+    """The (a, b) of ``pairs``, a written table, whose full sets have 3/4 of their union in common."""
     kind = sets.schema["id"].dataType.simpleString()
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
 
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
+            for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
                 keep.append(linked(*(np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75
-    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b", "ha", "hb").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
+    both = with_sets(with_sets(pairs, sets, "a", "b"), sets, "b", "a")
+    return both.where(near).select("a", "b", "h_a", "h_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def _roots(parents: DataFrame) -> DataFrame:
-    """(node, root) of (node, parent) with every parent smaller than its node: pointer jumping, logarithmic in the depth."""
+    """(node, root) of (node, parent) with every parent smaller than its node: pointer jumping, logarithmic in the depth.
+
+    Of a hot parent's rows only ids travel; adaptive execution splits them.
+    """
     table = written(parents)
     while True:
         up = table.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
         jumped = written(table.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")))
-        table = jumped.select("node", "parent")
-        if not jumped.where("moved").limit(1).count():
-            return table.withColumnRenamed("parent", "root")
+        dropped(table)
+        table = jumped
+        if not table.where("moved").limit(1).count():
+            out = table.select("node", F.col("parent").alias("root"))
+            out._folder = table._folder
+            return out
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, root) after joining the components that ``links`` (a, b) connect."""
+    """``labels`` (node, root), a written table that goes, after joining the components that ``links`` (a, b) connect."""
     a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
     edges = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
     edges = written(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
@@ -282,10 +279,13 @@ def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         roots = _roots(edges.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("parent")))
         new = roots.select(F.col("node").alias("old"), F.col("root").alias("new"))
         known = labels.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
-        fresh = roots.join(labels.select("node"), "node", "left_anti")
-        labels = written(known.unionByName(fresh))
-        edges = edges.join(new.select(F.col("old").alias("x"), F.col("new").alias("nx")), "x", "left").join(new.select(F.col("old").alias("y"), F.col("new").alias("ny")), "y", "left").select(F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
-        edges = written(edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        added = roots.join(labels.select("node"), "node", "left_anti")
+        old, labels = labels, written(known.unionByName(added))
+        left = edges.join(new.select(F.col("old").alias("x"), F.col("new").alias("nx")), "x", "left").join(new.select(F.col("old").alias("y"), F.col("new").alias("ny")), "y", "left").select(F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y"))
+        left = written(left.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        dropped(old, edges, roots)
+        edges = left
+    dropped(edges)
     return labels
 
 
@@ -304,7 +304,10 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, files: Set
     rows = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("size"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("top"))
     part = lambda n: ((n - 1) / BLOCK).cast("int")
-    mixed = counts.where("size > most").select("key", "top", part(F.col("size")).alias("last"), part(F.col("size") - F.col("most")).alias("rest_last"))
+    mixed = written(counts.where("size > most").select("key", "top", "size", (F.col("size") - F.col("most")).alias("others")))
+    work = mixed.agg(F.sum(F.col("size").cast("double") * F.col("others"))).collect()[0][0] or 0.0
+    tasks = max(int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(work // TASK_PAIRS))
+    mixed = mixed.select("key", "top", part(F.col("size")).alias("last"), part(F.col("others")).alias("rest_last"))
     rows = salted(rows, mixed, ["key"], F.col("rep")).join(classes.select("rep", "n", "registers"), "rep")
     own, rest_own = (F.pmod(F.xxhash64("rep", F.lit(k)), F.col(c) + 1).cast("int") for k, c in enumerate(("last", "rest_last")))
     spot = lambda i, j, right: F.struct(i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
@@ -312,7 +315,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, files: Set
     here = F.transform(F.sequence(F.lit(0), F.col("rest_last")), lambda j: spot(own, j, False))
     there = F.when(rest, F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: spot(i, rest_own, True))).otherwise(F.array().cast("array<struct<i:int,j:int,right:boolean>>"))
     blocks = rows.select("key", "band", "rep", "root", rest.alias("rest"), "n", "registers", F.explode(F.concat(here, there)).alias("s"))
-    blocks = blocks.select("key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.right").alias("right"), "band", "rep", "root", "rest", "n", "registers").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = blocks.select("key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.right").alias("right"), "band", "rep", "root", "rest", "n", "registers").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     kind = classes.schema["rep"].dataType.simpleString()
     stored = stored_type(classes, "rep")
 
@@ -398,12 +401,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     files = SetFiles.write(sets, shared_folder(docs.sparkSession))
 
     common = met.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("buckets"))
-    star = common.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("buckets", "hub")).alias("b"))
-    links = verified(star, sets)
+    star = written(common.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("buckets", "hub")).alias("b")))
+    links = written(verified(star, sets))
     labels = _roots(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
+    dropped(star, links)
     for best_only in (True, True, False):
-        links = written(verified(written(across(members, labels, classes, files, best_only)), sets))
+        pairs = written(across(members, labels, classes, files, best_only))
+        links = written(verified(pairs, sets))
         labels = joined(labels, links)
+        dropped(pairs, links)
+    dropped(met, sets)
+    delete_folder(docs.sparkSession, files.folder)
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or root is not null").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
     rows = table.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("f1")).alias("f1"), "f2")
@@ -413,5 +421,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of one document of each component, with their columns as they were."""
-    out = components(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(out, F.col(id_col) == F.col("_id"), "left_anti")
+    name = fresh("_id", docs.columns)
+    out = components(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(out, F.col(id_col) == F.col(name), "left_anti")
