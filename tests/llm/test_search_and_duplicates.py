@@ -176,12 +176,17 @@ def test_search_is_brute_force(spark):
 
 
 def test_search_in_small_shards(spark, monkeypatch):
-    rows = [(i, f"a b c{i % 7} d{i % 3} e{i}") for i in range(300)]
+    rng = random.Random(6)
+    rows = [(i, f"a b c{i % 7} d{i % 3} e{i} " + " ".join(f"f{rng.randrange(50)}" for _ in range(rng.randrange(20)))) for i in range(600)]
     d = docs(spark, [(i, t, "k", "r") for i, t in rows])
-    one = bm25.search(d, d.where("doc_id % 100 = 0"), k=5).orderBy("query_id", "rank").collect()
-    few = bm25.search(d.repartition(9), d.where("doc_id % 100 = 0"), k=5).orderBy("query_id", "rank").collect()
-    assert one == few and len(one) == 15
+    one = bm25.search(d, d.where("doc_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect()
+    few = bm25.search(d.repartition(9), d.where("doc_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect()
+    for name, value in (("SHARD_DOCS", 37), ("SHARD_POSTINGS", 300), ("QUERIES", 4), ("FILES", 2), ("BLOCK", 8)):
+        monkeypatch.setattr(bm25, name, value)
+    tiny = bm25.search(d.repartition(3), d.where("doc_id % 20 = 0"), k=5).orderBy("query_id", "rank").collect()
+    assert one == few == tiny and len(one) == 150
     assert bm25.search(docs(spark, []), docs(spark, []), k=5).collect() == []
+    assert bm25.search(d, d.where("doc_id < 0"), k=5).collect() == []
 
 
 def pages(spark, rows):

@@ -7,8 +7,9 @@ the number of documents are summed over all shards, so a score does not depend o
 A query goes over a shard from rare terms to common ones. The rare and the common terms' impacts are added up first. What
 the commonest terms can add at most is known for every block of documents from the blocks' maxima, and a document stays
 in the race only if its score so far and its block's bound reach the k-th best score; the commonest terms' lists are
-looked up for those alone. The k-th best score starts from one shard that is searched first, so the other shards prune
-from their first query on and return little.
+looked up for those alone. The k-th best score starts from one shard that is searched first, by a task for every file of
+queries, so the other shards prune from their first query on and return little. Then a task takes up to ``FILES`` files of
+queries through one shard, so no task grows with the corpus.
 
 score(q, d) = sum over the distinct terms of q of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * |d| / avg))
 
@@ -16,7 +17,8 @@ Terms are words of bytes other than ASCII white space, A-Z lower-cased. Scores a
 of a sum doesn't show, and ties go to the smaller id.
 
 Defined results: null texts are empty; an empty query finds nothing; only documents that share a term with the query are
-found; null ids are neither searched for nor found; repeated rows are found once each; an empty table gives no rows.
+found; null ids are neither searched for nor found, and ids are cast to long, so others than numbers fail or count as null;
+repeated rows are found once each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ BLOCK = 64
 COMMON, COMMONEST = 16, 4
 #: A shard is closed at this many postings or documents. Its dense rows take at most 8 * COMMON bytes for each posting.
 SHARD_POSTINGS, SHARD_DOCS = 3_000_000, 20_000
+#: Queries of a file, and files that a task takes through its shard after reading it once.
+QUERIES, FILES = 512, 16
+#: With more tasks than this a task takes more files, as the driver lists them.
+MOST_TASKS = 100_000
 
 
 def terms_of(raw: bytes) -> list[bytes]:
@@ -193,26 +199,32 @@ class Shard:
         return found
 
 
-def _blocks(folder: str):
-    """The query blocks of a written table (query, terms, idf, floor), one row group after another."""
+def _blocks(folder: str, names: list[str]):
+    """The queries (query, terms, idf, floor) in files of a written table, one row group after another."""
     import pyarrow.parquet as pq
-    from pyarrow import fs as pafs
 
     fs, root = filesystem(folder)
-    for info in sorted(fs.get_file_info(pafs.FileSelector(root)), key=lambda x: x.path):
-        if info.path.endswith(".parquet"):
-            with fs.open_input_file(info.path) as f:
-                yield from pq.ParquetFile(f).iter_batches(batch_size=256)
+    for name in names:
+        with fs.open_input_file(f"{root}/{name}") as f:
+            yield from pq.ParquetFile(f).iter_batches(batch_size=256)
 
 
-def _searched(spark, shards: list[str], average: float, folder: str, k: int) -> DataFrame:
-    """(query, id, score): the k best of every query in each shard; a task for each shard, which reads the queries block by block."""
+def _files(folder: str) -> list[str]:
+    """The Parquet files of a written table: one for ``QUERIES`` queries."""
+    from pyarrow.fs import FileSelector
+
+    fs, root = filesystem(folder)
+    return sorted(x.base_name for x in fs.get_file_info(FileSelector(root)) if x.base_name.endswith(".parquet"))
+
+
+def _searched(spark, shards: list[str], average: float, folder: str, tasks: list[tuple[int, list[str]]], k: int) -> DataFrame:
+    """(query, id, score): the k best of every query in each shard; a task for each (shard, files of queries)."""
 
     def run(batches):
         for batch in batches:
-            for n in batch.column(0).to_pylist():
-                shard = Shard(shards[n], average)
-                for block in _blocks(folder):
+            for path, names in zip(batch.column("path").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                shard = Shard(path, average)
+                for block in _blocks(folder, names):
                     qs, ds, ss = [], [], []
                     asked = [(t.values.to_numpy(), w.values.to_numpy(), low.as_py()) for t, w, low in zip(*(block.column(c) for c in ("terms", "idf", "floor")), strict=True)]
                     for q, found in zip(block.column("query").to_pylist(), shard.search(asked, k), strict=True):
@@ -222,7 +234,8 @@ def _searched(spark, shards: list[str], average: float, folder: str, k: int) ->
                             ss.append(s)
                     yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.float64())], names=["query", "id", "score"])
 
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInArrow(run, "query long, id long, score double")
+    rows = spark.createDataFrame([(i, shards[n], names) for i, (n, names) in enumerate(tasks)], "task int, path string, names array<string>")
+    return rows.repartitionById(max(1, len(tasks)), "task").mapInArrow(run, "query long, id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,13 +252,17 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     df = table.where(F.col("term").isNotNull()).groupBy("term").agg(F.sum("df").alias("df"))
     weighted = asked.join(df, "term").withColumn("idf", F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     lists = weighted.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("idf", "term")), asc=False).alias("x")).select("query", F.col("x.term").alias("terms"), F.col("x.idf").alias("idf"))
-    plain = written(lists.withColumn("floor", F.lit(0.0)), f"{folder}/queries")
+    files = -(-queries.where(F.col(id_col).isNotNull()).count() // QUERIES)
+    plain = written(lists.withColumn("floor", F.lit(0.0)).repartition(max(1, files), "query"), f"{folder}/queries")
     if not shards:
         return plain.select(F.col("query").alias("query_id"), F.lit(1).alias("rank"), F.col("query").alias(id_col), F.lit(0.0).alias("score")).where(F.lit(False))
-    first = written(_searched(spark, shards[:1], average, f"{folder}/queries", k))
+    first = written(_searched(spark, shards, average, f"{folder}/queries", [(0, [name]) for name in _files(f"{folder}/queries")], k))
     floors = first.groupBy(F.col("query").alias("q")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("low"))
     primed = plain.join(floors, F.col("query") == F.col("q"), "left").select("query", "terms", "idf", F.coalesce("low", "floor").alias("floor"))
-    written(primed, f"{folder}/primed")
-    found = first.unionByName(_searched(spark, shards[1:], average, f"{folder}/primed", k)) if len(shards) > 1 else first
+    written(primed.repartition(max(1, files), "query"), f"{folder}/primed")
+    names = _files(f"{folder}/primed")
+    take = max(FILES, -(-len(names) * len(shards) // MOST_TASKS))
+    tasks = [(s, names[i : i + take]) for s in range(1, len(shards)) for i in range(0, len(names), take)]
+    found = first.unionByName(_searched(spark, shards, average, f"{folder}/primed", tasks, k)) if tasks else first
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("id").alias(id_col), "score")
