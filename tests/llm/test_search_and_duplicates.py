@@ -82,19 +82,21 @@ def test_one_large_group_in_blocks(spark, monkeypatch):
 def test_sets_are_looked_up_where_large_groups_meet(spark, monkeypatch):
     for name, value in (("BLOCK", 8), ("IN_PLACE", 0), ("HOT", 3), ("TASK_PAIRS", 50)):
         monkeypatch.setattr(near_dup, name, value)
-    asked = []
-    monkeypatch.setattr(near_dup.SetFiles, "write", classmethod(lambda cls, sets, folder, f=near_dup.SetFiles.write.__func__: asked.append(f(cls, sets, folder, 20)) or asked[-1]))
+    monkeypatch.setattr(near_dup, "SET_BYTES", 5_000)
     rows = corpus(seed=21, groups=16, size=16)
     got = near_dup.components(docs(spark, [(i, t, "k", "r") for i, t in rows]).repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
-    assert asked[0].files == 16
 
 
 def test_set_files_find_every_set(spark):
-    made = spark.createDataFrame([(i * 7, i % 50, np.arange(i % 50, dtype="<u8").tobytes()) for i in range(3000)], "id long, n long, hashes binary")
-    files = near_dup.SetFiles.write(made, common.shared_folder(spark), per_file=60)
+    texts = spark.createDataFrame([(i * 7, " ".join(f"{i}w{k}" for k in range(i % 50))) for i in range(3000)], "id long, text string")
+    sets, files = near_dup.shingle_sets(texts.unionByName(texts), texts.where("id % 2 = 0").select("id"), 50)
     files.CACHE_BYTES, files.OPEN = 1000, 3
-    assert files.files == 50 and all(np.array_equal(files.get(i * 7), np.arange(i % 50)) for i in range(3000)) and len(files.open) == 3
+    rows = sets.withColumn("bucket", near_dup.bucket_of("id", 50)).collect()
+    assert len(rows) == 1500 and files.files == 50
+    assert all(np.array_equal(files.get(r["id"], r["bucket"]), np.frombuffer(r["hashes"], "<u8")) and len(r["hashes"]) == 8 * r["n"] for r in rows) and len(files.open) == 3
+    plan = sets.join(texts.select("id").hint("merge"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
 
 
 def test_recall_near_the_threshold(spark):

@@ -24,13 +24,13 @@ other than those named are not read.
 
 from __future__ import annotations
 
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_strings, delete_folder, dropped, filesystem, fresh, salted, shared_folder, written
+from .common import byte_strings, dropped, filesystem, fresh, salted, shared_folder, written
 from .packing import stored_type
 from .sstable import Shard, ShardWriter, key_of
 
@@ -43,6 +43,8 @@ IN_PLACE = 256
 HOT = 2_000
 #: About so many pairs of sketches are compared by a task, so tasks stay alike when the input grows.
 TASK_PAIRS = 4_000_000
+#: Bytes of shingle sets in a bucket, about.
+SET_BYTES = 64 << 20
 #: A pair is dropped on its registers only if they are e**9 times likelier at another similarity than at the threshold.
 SLACK = 9.0
 
@@ -141,24 +143,15 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, registers binary")
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, hashes) of (id, text): eight bytes for each shingle, ascending."""
-
-    def run(batches):
-        for batch in batches:
-            ids, texts = batch.column("id"), byte_strings(batch, "text")
-            for k in range(0, len(texts), 256):
-                sets = [shingle_set(_words(t)) for t in texts[k : k + 256]]
-                yield pa.RecordBatch.from_arrays([ids[k : k + 256], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "n", "hashes"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, hashes binary")
+def bucket_of(column: str, files: int) -> Column:
+    """The bucket, and so the shard, of an id: that of Spark's own bucketing and hash partitioning."""
+    return F.pmod(F.hash(column), F.lit(files)).cast("int")
 
 
 class SetFiles:
     """Shingle sets in sorted-string-table shards of the shared folder, for looking up single sets from a task.
 
-    An id's shard is its text's crc32 modulo the number of shards. A task holds at most ``OPEN`` shards' sparse indexes and
-    filters, and ``CACHE_BYTES`` of sets.
+    A task holds at most ``OPEN`` shards' sparse indexes and filters, and ``CACHE_BYTES`` of sets.
     """
 
     CACHE_BYTES, OPEN, BLOCK_BYTES = 64 << 20, 32, 1 << 14
@@ -169,37 +162,11 @@ class SetFiles:
         self.sets: dict = {}
         self.held = 0
 
-    @classmethod
-    def write(cls, sets: DataFrame, folder: str, per_file: int = 50_000) -> SetFiles:
-        """From a written table (id, n, hashes); a task for each shard."""
-        files = max(16, -(-sets.count() // per_file))
-
-        def run(batches):
-            from pyspark import TaskContext
-
-            context = TaskContext.get()
-            fs, root = filesystem(folder)
-            fs.create_dir(root, recursive=True)
-            own = f"{root}/_{context.taskAttemptId()}"
-            with fs.open_output_stream(own, compression=None) as out:
-                w = ShardWriter(out, 8, cls.BLOCK_BYTES)
-                for batch in batches:
-                    for i, raw in zip(batch.column("id").to_pylist(), batch.column("hashes"), strict=True):
-                        w.add(key_of(i), raw.as_buffer())
-                w.close()
-            fs.move(own, f"{root}/{context.partitionId()}")
-            yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["none"])
-
-        number = F.crc32(F.col("id").cast("string").cast("binary")) % files
-        sets.repartitionById(files, number.cast("int")).sortWithinPartitions("id").mapInArrow(run, "none long").count()
-        return cls(folder, files)
-
-    def get(self, i) -> np.ndarray:
+    def get(self, i, bucket: int) -> np.ndarray:
         if i in self.sets:
             return self.sets[i]
-        f = zlib.crc32(str(i).encode()) % self.files
-        shard = self.open.pop(f, None) or Shard(f"{self.folder}/{f}")
-        self.open[f] = shard  # the last in order is the one used last
+        shard = self.open.pop(bucket, None) or Shard(f"{self.folder}/{bucket}")
+        self.open[bucket] = shard  # the last in order is the one used last
         if len(self.open) > self.OPEN:
             self.open.pop(next(iter(self.open))).close()
         got = shard.get(i)[0]
@@ -211,6 +178,53 @@ class SetFiles:
         return got
 
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, files: int) -> tuple[DataFrame, SetFiles]:
+    """(id, n, hashes: eight bytes for each shingle, ascending) of the ``wanted`` (id) among ``docs`` (id, text).
+
+    Texts are shuffled once, by id. The sets are stored as a table in ``files`` buckets by id, which joins by id read
+    without shuffling them again, and each bucket as a shard for lookups beside it.
+    """
+    spark = docs.sparkSession
+    folder, name = shared_folder(spark), f"shingle_sets_{uuid.uuid4().hex}"
+    kind = docs.schema["id"].dataType.simpleString()
+    stored = stored_type(docs, "id")
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        fs, root = filesystem(f"{folder}/shards")
+        fs.create_dir(root, recursive=True)
+        own, bucket, last = f"{root}/_{TaskContext.get().taskAttemptId()}", None, None
+        with fs.open_output_stream(own, compression=None) as out:
+            w = ShardWriter(out, 8, SetFiles.BLOCK_BYTES)
+            for batch in batches:
+                texts = byte_strings(batch, "text")
+                buckets, all_ids = batch.column("bucket").to_pylist(), batch.column("id").to_pylist()
+                for k in range(0, len(texts), 256):
+                    ids, sets = [], []
+                    for b, i, t in zip(buckets[k : k + 256], all_ids[k : k + 256], texts[k : k + 256], strict=True):
+                        if i == last:
+                            continue  # rows that share an id are one document
+                        if bucket not in (None, b):
+                            raise ValueError("a task holds ids of several buckets")
+                        bucket, last = b, i
+                        ids.append(i)
+                        sets.append(shingle_set(_words(t)).astype("<u8").tobytes())
+                        w.add(key_of(i), sets[-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, stored), pa.array([len(x) // 8 for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "n", "hashes"])
+            w.close()
+        if bucket is None:
+            fs.delete_file(own)
+        else:
+            fs.move(own, f"{root}/{bucket}")
+
+    texts = docs.repartition(files, "id").join(wanted, "id").withColumn("bucket", bucket_of("id", files)).sortWithinPartitions("id", "text")
+    texts.select("id", "bucket", "text").mapInArrow(run, f"id {kind}, n long, hashes binary").write.bucketBy(files, "id").sortBy("id").option("path", f"{folder}/table").saveAsTable(name)
+    sets = spark.table(name)
+    sets._folder, sets._name = folder, name
+    return sets, SetFiles(f"{folder}/shards", files)
+
+
 def linked(s: np.ndarray, t: np.ndarray) -> bool:
     """Whether two sorted sets have 3/4 of their union in common."""
     common = len(np.intersect1d(s, t, assume_unique=True))
@@ -224,21 +238,22 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return classes.select("rep", F.posexplode(keys).alias("band", "key"))
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame, column: str, other: str) -> DataFrame:
+def with_sets(pairs: DataFrame, sets: DataFrame, column: str, other: str, hot: DataFrame) -> DataFrame:
     """``pairs`` with the size n_<column> and hashes h_<column> of the set that ``column`` names.
 
-    An id in more than ``HOT`` pairs, such as the smallest id of a large group, is dealt to as many tasks as it has
-    multiples of them, and only its own set is repeated as often.
+    ``hot`` (id, salts) are ids in very many pairs, such as the smallest id of a large group. Their pairs are dealt to as
+    many tasks as ``salts`` says, and only their own sets are repeated as often. The others meet the sets bucket by bucket.
     """
-    hot = pairs.groupBy(column).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select(column, F.ceil(F.col("c") / HOT).cast("int").alias("salts"))
-    dealt = salted(pairs, hot, [column], F.col(other), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.lit(1), other), "salts").cast("int"), F.lit(0))).drop("salts")
-    mine = sets.select(F.col("id").alias(column), F.col("n").alias(f"n_{column}"), F.col("hashes").alias(f"h_{column}")).join(hot, column, "left")
-    mine = mine.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    return dealt.join(mine, [column, "salt"]).drop("salt")
+    named = lambda s: s.select(F.col("id").alias(column), F.col("n").alias(f"n_{column}"), F.col("hashes").alias(f"h_{column}"), *[c for c in s.columns if c == "salt"])
+    known = hot.select(F.col("id").alias(column), "salts")
+    cold = salted(pairs, known, [column], F.col(other), "left_anti").join(named(sets), column)
+    few = named(sets.join(F.broadcast(hot), "id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
+    dealt = salted(pairs, known, [column], F.col(other)).withColumn("salt", F.pmod(F.xxhash64(F.lit(1), other), "salts").cast("int")).drop("salts")
+    return cold.unionByName(dealt.join(few, [column, "salt"]).drop("salt"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs``, a written table, whose full sets have 3/4 of their union in common."""
+    """The (a, b) of ``pairs``, a written table, whose full sets have 3/4 of their union in common; a written table."""
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -248,9 +263,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(linked(*(np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    # at most 1 / HOT of the pairs' ids are hot
+    hot = {c: pairs.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("id", F.ceil(F.col("c") / HOT).cast("int").alias("salts")) for c in "ab"}
+    for c in "ab":
+        table = written(hot[c])
+        hot[c] = table if table.limit(1).count() else None
+    both = pairs
+    for c, other in ("ab", "ba"):
+        if hot[c] is not None:
+            both = with_sets(both, sets, c, other, hot[c])
+        else:
+            both = both.join(sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")), c)
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
-    both = with_sets(with_sets(pairs, sets, "a", "b"), sets, "b", "a")
-    return both.where(near).select("a", "b", "h_a", "h_b").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    out = written(both.where(near).select("a", "b", "h_a", "h_b").mapInArrow(run, f"a {kind}, b {kind}").distinct())
+    dropped(*[t for t in hot.values() if t is not None])
+    return out
 
 
 def _roots(parents: DataFrame) -> DataFrame:
@@ -314,8 +341,8 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, files: Set
     rest = F.col("root") != F.col("top")
     here = F.transform(F.sequence(F.lit(0), F.col("rest_last")), lambda j: spot(own, j, False))
     there = F.when(rest, F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: spot(i, rest_own, True))).otherwise(F.array().cast("array<struct<i:int,j:int,right:boolean>>"))
-    blocks = rows.select("key", "band", "rep", "root", rest.alias("rest"), "n", "registers", F.explode(F.concat(here, there)).alias("s"))
-    blocks = blocks.select("key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.right").alias("right"), "band", "rep", "root", "rest", "n", "registers").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    blocks = rows.select("key", "band", "rep", "root", rest.alias("rest"), "n", "registers", bucket_of("rep", files.files).alias("bucket"), F.explode(F.concat(here, there)).alias("s"))
+    blocks = blocks.select("key", F.col("s.i").alias("i"), F.col("s.j").alias("j"), F.col("s.right").alias("right"), "band", "rep", "root", "rest", "n", "registers", "bucket").repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     kind = classes.schema["rep"].dataType.simpleString()
     stored = stored_type(classes, "rep")
 
@@ -352,7 +379,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, files: Set
             met = set()
             for j in js[:1] if best_only else js:
                 if in_place:
-                    if root[j] in met or not linked(files.get(ids[i]), files.get(ids[j])):
+                    if root[j] in met or not linked(files.get(ids[i], held[i][7]), files.get(ids[j], held[j][7])):
                         continue
                     met.add(root[j])
                 out.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
@@ -369,7 +396,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, files: Set
 
         for batch in batches:
             d = batch.to_pydict()
-            for k, i, j, *row in zip(*(d[c] for c in ("key", "i", "j", "right", "band", "rep", "root", "rest", "n", "registers")), strict=True):
+            for k, i, j, *row in zip(*(d[c] for c in ("key", "i", "j", "right", "band", "rep", "root", "rest", "n", "registers", "bucket")), strict=True):
                 if (k, i, j) != key:
                     if held:
                         pairs_of(held, out)
@@ -396,22 +423,22 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     met = written(salted(bands, buckets, ["key"], F.col("rep")))
     members = met.select("key", "band", "rep")
     wanted = met.groupBy("rep").agg(F.count(F.lit(1)).alias("buckets")).select(F.col("rep").alias("id"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, "id")
-    sets = written(shingle_sets(texts))
-    files = SetFiles.write(sets, shared_folder(docs.sparkSession))
+    size = 8 * (classes.agg(F.sum("n")).collect()[0][0] or 0)
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SET_BYTES))
+    sets, lookup = shingle_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, files)
 
     common = met.where("rep <> hub").groupBy("rep", "hub").agg(F.count(F.lit(1)).alias("buckets"))
     star = written(common.groupBy(F.col("rep").alias("a")).agg(F.max_by("hub", F.struct("buckets", "hub")).alias("b")))
-    links = written(verified(star, sets))
+    links = verified(star, sets)
     labels = _roots(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
     dropped(star, links)
     for best_only in (True, True, False):
-        pairs = written(across(members, labels, classes, files, best_only))
-        links = written(verified(pairs, sets))
+        pairs = written(across(members, labels, classes, lookup, best_only))
+        links = verified(pairs, sets)
         labels = joined(labels, links)
         dropped(pairs, links)
     dropped(met, sets)
-    delete_folder(docs.sparkSession, files.folder)
+    docs.sparkSession.sql(f"DROP TABLE {sets._name}")
 
     named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").where("copies > 1 or root is not null").select("f1", "f2", F.coalesce("root", "rep").alias("component_id"))
     rows = table.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("f1")).alias("f1"), "f2")
