@@ -40,7 +40,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_535
 BLOCK = 512
 IN_PLACE = 256
 #: An id in more pairs than this is verified by several tasks.
-HOT = 2_000
+HOT = 500
 #: About so many pairs of sketches are compared by a task, so tasks stay alike when the input grows.
 TASK_PAIRS = 4_000_000
 #: Bytes of shingle sets in a bucket, about.
@@ -247,7 +247,7 @@ def with_sets(pairs: DataFrame, sets: DataFrame, column: str, other: str, hot: D
     named = lambda s: s.select(F.col("id").alias(column), F.col("n").alias(f"n_{column}"), F.col("hashes").alias(f"h_{column}"), *[c for c in s.columns if c == "salt"])
     known = hot.select(F.col("id").alias(column), "salts")
     cold = salted(pairs, known, [column], F.col(other), "left_anti").join(named(sets), column)
-    few = named(sets.join(F.broadcast(hot), "id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
+    few = named(sets.join(hot, "id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
     dealt = salted(pairs, known, [column], F.col(other)).withColumn("salt", F.pmod(F.xxhash64(F.lit(1), other), "salts").cast("int")).drop("salts")
     return cold.unionByName(dealt.join(few, [column, "salt"]).drop("salt"))
 
