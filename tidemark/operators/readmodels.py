@@ -12,9 +12,10 @@ from .subscriptions import by_ack
 
 def leases(journal: DataFrame) -> DataFrame:
     """(subscription_id, ack_id, deadline) of the ids whose last lease event sets a deadline."""
-    e = by_ack(journal.where(F.col("type") != "MessageDelivered"))
-    last = e.groupBy("subscription_id", "ack_id").agg(F.max_by(F.struct("type", "deadline"), "ordering").alias("x"))
-    return last.where(F.col("x.type").isin("MessageLeased", "AckDeadlineModified")).select("subscription_id", "ack_id", "x.deadline")
+    e = by_ack(journal.where(F.col("type") != "MessageDelivered")).select("subscription_id", "ack_id", "ordering", "type", "deadline")
+    sets = F.when(F.col("type").isin("MessageLeased", "AckDeadlineModified"), F.col("ordering"))
+    last = e.groupBy("subscription_id", "ack_id").agg(F.max("ordering").alias("last"), F.max(sets).alias("set"), F.max_by("deadline", sets).alias("deadline"))
+    return last.where(F.col("set") == F.col("last")).select("subscription_id", "ack_id", "deadline")
 
 
 def overdue(leases: DataFrame, now) -> DataFrame:
@@ -23,9 +24,10 @@ def overdue(leases: DataFrame, now) -> DataFrame:
 
 def expiring(journal: DataFrame) -> DataFrame:
     """(subscription_id, ack_id, expire_time) of delivered messages with an expiry that haven't been removed."""
-    e = by_ack(journal.where(F.col("type").isin(TERMINAL) | (F.col("type") == "MessageDelivered") & F.col("message.expire_time").isNotNull()))
-    last = e.groupBy("subscription_id", "ack_id").agg(F.max_by(F.struct("type", "message.expire_time"), "ordering").alias("x"))
-    return last.where(F.col("x.type") == "MessageDelivered").select("subscription_id", "ack_id", "x.expire_time")
+    e = by_ack(journal.where(F.col("type").isin(TERMINAL) | (F.col("type") == "MessageDelivered") & F.col("message.expire_time").isNotNull())).select("subscription_id", "ack_id", "ordering", "type", F.col("message.expire_time").alias("expire_time"))
+    came = F.when(F.col("type") == "MessageDelivered", F.col("ordering"))
+    last = e.groupBy("subscription_id", "ack_id").agg(F.max("ordering").alias("last"), F.max(came).alias("came"), F.max_by("expire_time", came).alias("expire_time"))
+    return last.where(F.col("came") == F.col("last")).select("subscription_id", "ack_id", "expire_time")
 
 
 def past(expiring: DataFrame, now) -> DataFrame:
@@ -34,19 +36,20 @@ def past(expiring: DataFrame, now) -> DataFrame:
 
 def backlog(journal: DataFrame) -> DataFrame:
     """(subscription_id, ack_id, delivered_at): the publish time of the first delivery since the last removal."""
-    e = by_ack(journal.where((F.col("type") == "MessageDelivered") | F.col("type").isin(TERMINAL)))
-    removed = F.col("type").isin(TERMINAL)
-    g = e.groupBy("subscription_id", "ack_id").agg(F.max(F.when(removed, F.col("ordering"))).alias("out"), F.collect_list(F.when(~removed, F.struct("ordering", F.col("message.publish_time").alias("at")))).alias("in"))
-    since = F.array_min(F.filter("in", lambda x: F.col("out").isNull() | (x["ordering"] > F.col("out"))))
-    return g.withColumn("first", since).where(F.col("first").isNotNull()).select("subscription_id", "ack_id", F.col("first.at").alias("delivered_at"))
+    out = by_ack(journal.where(F.col("type").isin(TERMINAL))).groupBy("subscription_id", "ack_id").agg(F.max("ordering").alias("out"))
+    came = by_ack(journal.where(F.col("type") == "MessageDelivered")).select("subscription_id", "ack_id", "ordering", F.col("message.publish_time").alias("at"))
+    since = came.join(out, ["subscription_id", "ack_id"], "left").where(F.col("out").isNull() | (F.col("ordering") > F.col("out")))
+    return since.groupBy("subscription_id", "ack_id").agg(F.min_by("at", "ordering").alias("delivered_at"))
 
 
 def subscription_counters(journal: DataFrame) -> DataFrame:
     """(subscription_id, topic_id, redelivered_total, dead_lettered_total). Deliveries given back count as redelivered."""
-    sub = F.coalesce("subscription_id", parsed("Subscription", F.col("persistence_id")))
-    j = journal.where(F.col("type").isin("SubscriptionCreated", "AckDeadlineExpired", "MessageDeadLettered")).where(parsed("Subscription", F.col("persistence_id")).isNotNull())
-    g = j.groupBy(sub.alias("subscription_id")).agg(F.max_by(F.col("topic_id"), F.when(F.col("type") == "SubscriptionCreated", F.col("ordering"))).alias("topic_id"), F.count_if(F.col("type") == "AckDeadlineExpired").alias("redelivered_total"), F.count_if(F.col("type") == "MessageDeadLettered").alias("dead_lettered_total"))
-    return g.where(F.length(F.coalesce("topic_id", F.lit(""))) > 0)
+    sub = parsed("Subscription", F.col("persistence_id"))
+    made = journal.where(F.col("type") == "SubscriptionCreated").where(sub.isNotNull()).groupBy(F.coalesce("subscription_id", sub).alias("subscription_id")).agg(F.max_by("topic_id", "ordering").alias("topic_id"))
+    j = journal.where(F.col("type").isin("AckDeadlineExpired", "MessageDeadLettered")).select(sub.alias("subscription_id"), "type").where(F.col("subscription_id").isNotNull())
+    counts = j.groupBy("subscription_id").agg(F.count_if(F.col("type") == "AckDeadlineExpired").alias("redelivered_total"), F.count_if(F.col("type") == "MessageDeadLettered").alias("dead_lettered_total"))
+    g = made.where(F.length(F.coalesce("topic_id", F.lit(""))) > 0).join(counts, "subscription_id", "left")
+    return g.select("subscription_id", "topic_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("redelivered_total", "dead_lettered_total")])
 
 
 def subscription_stats(counters: DataFrame, backlog: DataFrame) -> DataFrame:

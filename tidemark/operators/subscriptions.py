@@ -22,24 +22,38 @@ def by_ack(journal: DataFrame) -> DataFrame:
     return j.select(sub.alias("subscription_id"), F.explode(F.coalesce("ack_ids", F.array("ack_id"))).alias("ack_id"), "ordering", "type", "message", "deadline", "attempt").where(F.col("subscription_id").isNotNull())
 
 
-def outstanding(journal: DataFrame) -> DataFrame:
-    """The state after all events, without a sequential fold and in one shuffle.
+def slim(journal: DataFrame) -> DataFrame:
+    """``outstanding`` without messages: a hash aggregation over numbers alone, in one shuffle and without a sequential fold.
 
     A message is outstanding if its last delivery comes after its last removal. What counts of its lease is the last
     lease event after that delivery; of its attempts, the last expiry after it. Events are cut to those after the delivery
     by comparing orderings, as an aggregate can't: the last event of each kind is enough, because an event before the
     delivery leaves no later one of its kind if it is the last.
     """
-    e = by_ack(journal)
+    e = by_ack(journal).select("subscription_id", "ack_id", "ordering", "type", "deadline", "attempt")
     o, t = F.col("ordering"), F.col("type")
-    last = lambda cond, value: F.max_by(F.when(cond, value), F.when(cond, o))
     at = lambda cond: F.max(F.when(cond, o))
-    delivered, removed, leasing, failing = t == "MessageDelivered", t.isin(TERMINAL), t.isin(LEASE_EVENTS), t == "AckDeadlineExpired"
-    g = e.groupBy("subscription_id", "ack_id").agg(at(delivered).alias("delivered"), at(removed).alias("removed"), last(delivered, F.col("message")).alias("message"), last(leasing, F.struct("type", "deadline", F.col("ordering").alias("o"))).alias("lease"), last(failing, F.struct("attempt", F.col("ordering").alias("o"))).alias("failed"))
+    sets, fails = t.isin("MessageLeased", "AckDeadlineModified"), t == "AckDeadlineExpired"
+    g = e.groupBy("subscription_id", "ack_id").agg(
+        at(t == "MessageDelivered").alias("delivered"), at(t.isin(TERMINAL)).alias("removed"), at(sets).alias("set"), at(fails).alias("failed"),
+        F.max_by("deadline", F.when(sets, o)).alias("deadline"), F.max_by("attempt", F.when(fails, o)).alias("attempt"),
+    )
     g = g.where(F.col("delivered").isNotNull() & (F.col("removed").isNull() | (F.col("delivered") > F.col("removed"))))
-    leased = F.coalesce((F.col("lease.o") > F.col("delivered")) & (F.col("lease.type") != "AckDeadlineExpired"), F.lit(False))
-    attempts = F.when(F.col("failed.o") > F.col("delivered"), F.col("failed.attempt")).otherwise(0)
-    return g.select("subscription_id", "ack_id", "delivered", "message", F.when(leased, "Leased").otherwise("Available").alias("lease_state"), F.when(leased, F.col("lease.deadline")).alias("deadline"), F.coalesce(attempts, F.lit(0)).alias("attempts"))
+    leased = F.coalesce((F.col("set") > F.col("delivered")) & (F.col("failed").isNull() | (F.col("set") > F.col("failed"))), F.lit(False))
+    attempts = F.when(F.col("failed") > F.col("delivered"), F.col("attempt"))
+    return g.select("subscription_id", "ack_id", "delivered", F.when(leased, "Leased").otherwise("Available").alias("lease_state"), F.when(leased, F.col("deadline")).alias("deadline"), F.coalesce(attempts, F.lit(0)).alias("attempts"))
+
+
+def with_messages(state: DataFrame, journal: DataFrame) -> DataFrame:
+    """A slim state with the messages of its deliveries: only messages that are outstanding are joined, by the key that the state has been shuffled by."""
+    sub = parsed("Subscription", F.col("persistence_id"))
+    sent = journal.where(F.col("type") == "MessageDelivered").select(sub.alias("subscription_id"), "ack_id", F.col("ordering").alias("delivered"), "message")
+    return state.join(sent, ["subscription_id", "ack_id", "delivered"]).select("subscription_id", "ack_id", "delivered", "message", "lease_state", "deadline", "attempts")
+
+
+def outstanding(journal: DataFrame) -> DataFrame:
+    """The state after all events. Messages meet it after the aggregation, so payloads of removed messages are never aggregated."""
+    return with_messages(slim(journal), journal)
 
 
 def create(commands: DataFrame) -> DataFrame:
@@ -87,10 +101,10 @@ def split_acks(requests: DataFrame, state: DataFrame) -> DataFrame:
     return r.select(*requests.columns, (F.coalesce("_there", F.lit(False)) & (F.col("position") == F.col("_first")) & valid(F.col("ack_id"))).alias("known"))
 
 
-def batch_reply(split: DataFrame) -> DataFrame:
-    """(subscription_id, applied, unknown): ack ids in the order of the request. A request is small, so are its lists."""
+def batch_reply(split: DataFrame, *request: str) -> DataFrame:
+    """(subscription_id, [request columns,] applied, unknown): ack ids in the order of the request. A request is small, so are its lists."""
     ids = lambda flag: F.transform(F.sort_array(F.collect_list(F.when(F.col("known") == flag, F.struct("position", "ack_id")))), lambda x: x["ack_id"])
-    return split.groupBy("subscription_id").agg(ids(F.lit(True)).alias("applied"), ids(F.lit(False)).alias("unknown"))
+    return split.groupBy("subscription_id", *request).agg(ids(F.lit(True)).alias("applied"), ids(F.lit(False)).alias("unknown"))
 
 
 def acknowledge(requests: DataFrame, state: DataFrame) -> DataFrame:
@@ -130,4 +144,4 @@ def exists(subscription_ids: DataFrame, journal: DataFrame) -> DataFrame:
     return subscription_ids.join(made, "subscription_id", "left_semi")
 
 
-__all__ = ["ack_id", "acknowledge", "batch_reply", "by_ack", "create", "exists", "expire_deadlines", "expire_messages", "lease", "modify_deadline", "outstanding", "pull", "record_delivery", "split_acks"]
+__all__ = ["ack_id", "acknowledge", "batch_reply", "by_ack", "create", "exists", "expire_deadlines", "expire_messages", "lease", "modify_deadline", "outstanding", "pull", "record_delivery", "slim", "split_acks", "with_messages"]

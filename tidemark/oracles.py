@@ -13,7 +13,7 @@ subs0 AS (SELECT topic_id, i, 's-' || topic_id || '-' || i AS subscription_id, t
 subs AS (SELECT topic_id, i, subscription_id, 100 * min(event_id) - 1 AS ordering FROM subs0 JOIN events ON ts >= created_at GROUP BY 1, 2, 3),
 msgs AS (SELECT event_id, event_type AS topic_id, 'm-' || event_id AS message_id, ts AS publish_time, props AS payload, user_id::VARCHAR AS u, json_extract_string(props, '$.k') AS k,
   CASE WHEN event_id % 4 = 0 THEN ts + (60 + event_id % 600) * INTERVAL 1 SECOND END AS expire_time FROM events),
-fan AS (SELECT m.*, s.subscription_id, s.i, 100 * m.event_id + 20 * s.i + 1 AS base, s.subscription_id || ':' || m.message_id AS ack_id, (m.event_id + s.i) % 7 AS c
+fan AS (SELECT m.*, s.subscription_id, s.i, 100 * m.event_id + 20 * s.i + 1 AS base, s.subscription_id || ':' || m.message_id AS ack_id, (m.event_id + s.i) % 10 AS c
   FROM msgs m JOIN subs s ON s.topic_id = m.topic_id AND 100 * m.event_id > s.ordering),
 steps(c, step, type, attempt) AS (VALUES {_STEPS}),
 later AS (SELECT fan.*, step, type, attempt, CASE WHEN type = 'MessageLeased' THEN publish_time + 30 * step * INTERVAL 1 SECOND WHEN type = 'AckDeadlineModified' THEN publish_time + INTERVAL 10 DAY END AS deadline
@@ -43,8 +43,8 @@ sstats AS (SELECT c.subscription_id, topic_id, redelivered_total, dead_lettered_
 slist AS (SELECT subscription_id, topic_id, backlog, greatest(0, coalesce(date_sub('second', oldest, TIMESTAMP '{NOW}'), 0)) AS oldest_age_seconds, redelivered_total, dead_lettered_total FROM sstats),
 tstats AS (SELECT split_part(pid, '|', 2) AS topic_id, count(*) FILTER (type = 'MessagePublished') AS published_total, bool_or(type = 'TopicDeleted') AS deleted FROM j WHERE pid LIKE 'Topic|%' GROUP BY 1),
 due AS (SELECT o.* FROM o JOIN leases l USING (subscription_id, ack_id) WHERE l.deadline <= TIMESTAMP '{NOW}' AND lease_state = 'Leased' AND o.deadline <= TIMESTAMP '{NOW}'),
-req AS (SELECT 's-' || event_type || '-0' AS subscription_id, CASE WHEN event_id % 35 = 3 THEN ' ' ELSE 's-' || event_type || '-0:m-' || event_id END AS ack_id, event_id * 2 + again AS position, event_id % 5 * 10000 AS deadline_ms
-  FROM events, range(2) r(again) WHERE event_id % 7 = 3 AND (again = 0 OR event_id % 21 = 3)),
+req AS (SELECT 's-' || event_type || '-' || i AS subscription_id, CASE WHEN again = 2 THEN ' ' ELSE 's-' || event_type || '-' || i || ':m-' || event_id END AS ack_id, event_id * 9 + i * 3 + again AS position, event_id % 5 * 10000 AS deadline_ms, event_id // 50 AS request
+  FROM events, range(3) s(i), range(3) r(again) WHERE again = 0 OR (again = 1 AND event_id % 3 = 0) OR (again = 2 AND event_id % 5 = 0)),
 split AS (SELECT r.*, o.ack_id IS NOT NULL AND trim(r.ack_id) <> '' AND position = min(position) OVER (PARTITION BY r.subscription_id, r.ack_id) AS known FROM req r LEFT JOIN o ON o.subscription_id = r.subscription_id AND o.ack_id = r.ack_id)
 """
 
@@ -107,7 +107,7 @@ ORACLES = {
     "lease_events": _j(f"SELECT subscription_id, string_agg(ack_id, ',' ORDER BY n) AS ack_ids, TIMESTAMP '{NOW}' + INTERVAL 30 SECOND AS deadline FROM (SELECT subscription_id, ack_id, row_number() OVER (PARTITION BY subscription_id ORDER BY delivered, ack_id) AS n FROM o WHERE lease_state = 'Available' AND (expire_time IS NULL OR expire_time > TIMESTAMP '{NOW}')) WHERE n <= 100 GROUP BY 1"),
     "ack_applied": _j("SELECT subscription_id, ack_id, position, 'MessageAcknowledged' AS event FROM split WHERE known"),
     "ack_unknown": _j("SELECT subscription_id, ack_id, position, 'UnknownAckId' AS rejection FROM split WHERE NOT known"),
-    "ack_batch_reply": _j("SELECT subscription_id, coalesce(string_agg(CASE WHEN known THEN ack_id END, ',' ORDER BY position), '') AS applied, count(*) FILTER (NOT known) AS n_unknown FROM split GROUP BY 1"),
+    "ack_batch_reply": _j("SELECT subscription_id, request, coalesce(string_agg(CASE WHEN known THEN ack_id END, ',' ORDER BY position), '') AS applied, count(*) FILTER (NOT known) AS n_unknown FROM split GROUP BY 1, 2"),
     "modify_deadline": _j(f"SELECT subscription_id, ack_id, position, CASE WHEN known THEN CASE WHEN deadline_ms <= 0 THEN 'AckDeadlineExpired' ELSE 'AckDeadlineModified' END END AS event, CASE WHEN known AND deadline_ms <= 0 THEN 0 END AS attempt, CASE WHEN known AND deadline_ms > 0 THEN TIMESTAMP '{NOW}' + deadline_ms * INTERVAL 1 MILLISECOND END AS deadline, CASE WHEN NOT known THEN 'UnknownAckId' END AS rejection FROM split"),
     "redelivery_sweep": _j("SELECT subscription_id, ack_id, CASE WHEN attempts + 1 >= 5 THEN 'MessageDeadLettered' ELSE 'AckDeadlineExpired' END AS event, attempts + 1 AS attempt FROM due"),
     "dead_letter_candidates": _j("SELECT subscription_id, ack_id, message_id, attempts + 1 AS attempt FROM due"),
@@ -129,8 +129,8 @@ ORACLES = {
     "dedup_stats": f"WITH RECURSIVE {_DEDUP} SELECT topic_id, count(*) FILTER (deduplicated) AS duplicates, count(*) FILTER (NOT deduplicated) AS accepted FROM dedup GROUP BY 1",
     "consumer_last_seen": f"WITH {_CALLS} SELECT * FROM seen",
     "active_consumers": f"WITH {_CALLS} SELECT * FROM active",
-    "tenant_qualify": "SELECT c_custkey, n_name || '~' || c_name AS internal, c_name AS external, false AS external_ok, starts_with(n_name || '~' || c_name, 'CHINA~') AS is_china FROM customer JOIN nation ON c_nationkey = n_nationkey",
-    "tenant_listing": "SELECT c_custkey, c_name AS internal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'FRANCE'",
+    "tenant_qualify": "SELECT c_custkey, n_name || '~' || c_name AS internal, c_name AS external, false AS external_ok, starts_with(n_name || '~' || c_name, 'NATION_3~') AS is_own FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "tenant_listing": "SELECT c_custkey, c_name AS internal FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_7'",
     "auth_match": f"WITH keys(n, tenant, salt, hash, admin) AS (VALUES {_KEYS}), t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'token-' || (s_suppkey % 7) WHEN s_suppkey % 2 = 0 THEN 'token-' || (s_suppkey % 5) END AS token FROM supplier), m AS (SELECT s_suppkey, min(n) AS n FROM t JOIN keys ON base64(unhex(sha256(from_base64(salt)::VARCHAR || token))) = hash GROUP BY 1) SELECT t.s_suppkey, keys.tenant, keys.n::INTEGER AS key_position, coalesce(keys.admin, false) AS admin FROM t LEFT JOIN m USING (s_suppkey) LEFT JOIN keys ON keys.n = m.n",
     "label_escape": "SELECT p_partkey, " + _ESC.format("p_name || CASE WHEN p_partkey % 3 = 0 THEN 'a\"b\\c' ELSE 'x' || chr(10) || 'y' END") + " AS escaped FROM part",
     "prometheus_lines": None,

@@ -1,8 +1,11 @@
 """A journal made from the ``events`` table: every event type is a topic with three subscriptions.
 
 Row ``event_id`` is published as ``m-<event_id>``. Subscription i of a topic starts i times ten days after the first
-event. What happens to a delivery depends on (event_id + i) mod 7, see ``LIFECYCLE``. The ordering of an event is
+event. What happens to a delivery depends on (event_id + i) mod 10, see ``LIFECYCLE``. The ordering of an event is
 100 times its event_id, plus 20 for each subscription, plus its step, so it is a total order without a shuffle.
+
+The journal is made once for each folder and application and stored by event type, as a broker's journal is; a reader of
+some types reads those alone.
 """
 
 from __future__ import annotations
@@ -10,9 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schemas import JOURNAL
+from ..sources import journal as store
+from ..storage import shared_folder
 
 NOW = "2024-01-15 00:00:00"
-SUBSCRIPTIONS, DAYS_APART = 3, 10
+SUBSCRIPTIONS, DAYS_APART, CASES = 3, 10, 10
+
+#: The stored journal of each application and folder.
+_STORED: dict[tuple[str, str], str] = {}
 
 #: Fixed values: (case, step, event type, attempt).
 LIFECYCLE = [
@@ -23,6 +31,10 @@ LIFECYCLE = [
     (4, 1, "MessageLeased", None), (4, 2, "AckDeadlineModified", None),
     (5, 1, "MessageLeased", None), (5, 2, "AckDeadlineExpired", 0),
     (6, 1, "MessageExpired", None),
+    (7, 1, "MessageLeased", None), (7, 2, "AckDeadlineExpired", 1),
+    (8, 1, "MessageLeased", None), (8, 2, "AckDeadlineExpired", 1), (8, 3, "MessageLeased", None), (8, 4, "AckDeadlineExpired", 2), (8, 5, "MessageLeased", None),
+    (9, 1, "MessageLeased", None), (9, 2, "AckDeadlineExpired", 1), (9, 3, "MessageLeased", None), (9, 4, "AckDeadlineExpired", 2), (9, 5, "MessageLeased", None),
+    (9, 6, "AckDeadlineExpired", 3), (9, 7, "MessageLeased", None), (9, 8, "AckDeadlineExpired", 4), (9, 9, "MessageLeased", None),
 ]
 
 
@@ -49,7 +61,17 @@ def subscriptions(e: DataFrame) -> DataFrame:
 
 
 def journal(spark: SparkSession, folder: str) -> DataFrame:
-    """All events of topics and subscriptions, in the journal's schema."""
+    """All events of topics and subscriptions, in the journal's schema, from a stored journal."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        path = shared_folder(spark)
+        store.append(generated(spark, folder), path)
+        _STORED[key] = path
+    return store.read(spark, _STORED[key])
+
+
+def generated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same events, made from the ``events`` table anew."""
     e = events(spark, folder)
     m, subs = messages(e), subscriptions(e)
     empty = {"labels": "map<string,string>", "message": m.schema["message"].dataType, "ack_id": "string", "ack_ids": "array<string>", "deadline": "timestamp_ntz", "attempt": "int", "topic_id": "string", "subscription_id": "string"}
@@ -66,7 +88,7 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
     started = subs.select("ordering", sub.alias("persistence_id"), F.lit("SubscriptionCreated").alias("type"), "topic_id", "subscription_id")
 
     fan = m.join(F.broadcast(subs.withColumnRenamed("ordering", "created")), "topic_id").where(100 * F.col("event_id") > F.col("created"))
-    base = fan.select((100 * F.col("event_id") + 20 * F.col("i") + 1).alias("base"), sub.alias("persistence_id"), F.concat_ws(":", "subscription_id", F.col("message.message_id")).alias("ack_id"), "message", "event_id", ((F.col("event_id") + F.col("i")) % 7).alias("case"))
+    base = fan.select((100 * F.col("event_id") + 20 * F.col("i") + 1).alias("base"), sub.alias("persistence_id"), F.concat_ws(":", "subscription_id", F.col("message.message_id")).alias("ack_id"), "message", "event_id", ((F.col("event_id") + F.col("i")) % CASES).alias("case"))
     delivered = base.select(F.col("base").alias("ordering"), "persistence_id", F.lit("MessageDelivered").alias("type"), "ack_id", "message")
     steps = spark.createDataFrame(LIFECYCLE, "case long, step long, type string, attempt int")
     later = base.join(F.broadcast(steps), "case").where(((F.col("case") != 6) | F.col("message.expire_time").isNotNull()) & ((F.col("type") != "AckDeadlineModified") | (F.col("event_id") % 3 == 0)))
@@ -80,4 +102,4 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-__all__ = ["JOURNAL", "LIFECYCLE", "NOW", "events", "journal", "messages", "subscriptions"]
+__all__ = ["JOURNAL", "LIFECYCLE", "NOW", "events", "generated", "journal", "messages", "subscriptions"]

@@ -85,29 +85,31 @@ def lease_events(spark, sf):
 
 
 def _requests(spark, sf):
-    """One request of each subscription: the ack ids of every seventh event, every 21st of them twice, and a blank one."""
-    e = synthetic.events(spark, sf).where(F.col("event_id") % 7 == 3).select("event_type", "event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("again")).where((F.col("again") == 0) | (F.col("event_id") % 21 == 3))
-    ack = F.when(F.col("event_id") % 35 == 3, F.lit(" ")).otherwise(F.concat(F.lit("s-"), F.col("event_type"), F.lit("-0:m-"), F.col("event_id").cast("string")))
-    return e.select(F.concat(F.lit("s-"), "event_type", F.lit("-0")).alias("subscription_id"), ack.alias("ack_id"), (F.col("event_id") * 2 + F.col("again")).alias("position"), (F.col("event_id") % 5 * 10_000).alias("deadline_ms"))
+    """Every event's ack id in each of its topic's three subscriptions; every third twice, and a blank id after every fifth. Fifty events are one request."""
+    e = synthetic.events(spark, sf).select("event_type", "event_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    e = e.select("*", F.explode(F.array(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1), F.when(F.col("event_id") % 5 == 0, 2))).alias("again")).where(F.col("again").isNotNull())
+    sub = F.format_string("s-%s-%d", "event_type", "i")
+    ack = F.when(F.col("again") == 2, F.lit(" ")).otherwise(F.concat(sub, F.lit(":m-"), F.col("event_id").cast("string")))
+    return e.select(sub.alias("subscription_id"), ack.alias("ack_id"), (F.col("event_id") * 9 + F.col("i") * 3 + F.col("again")).alias("position"), (F.col("event_id") % 5 * 10_000).alias("deadline_ms"), F.expr("event_id div 50").alias("request"))
 
 
 def ack_applied(spark, sf):
-    r = subscriptions.acknowledge(_requests(spark, sf), subscriptions.outstanding(journal(spark, sf)))
+    r = subscriptions.acknowledge(_requests(spark, sf), subscriptions.slim(journal(spark, sf)))
     return r.where(F.col("event").isNotNull()).select("subscription_id", "ack_id", "position", "event")
 
 
 def ack_unknown(spark, sf):
-    r = subscriptions.acknowledge(_requests(spark, sf), subscriptions.outstanding(journal(spark, sf)))
+    r = subscriptions.acknowledge(_requests(spark, sf), subscriptions.slim(journal(spark, sf)))
     return r.where(F.col("rejection").isNotNull()).select("subscription_id", "ack_id", "position", "rejection")
 
 
 def ack_batch_reply(spark, sf):
-    r = subscriptions.batch_reply(subscriptions.split_acks(_requests(spark, sf), subscriptions.outstanding(journal(spark, sf))))
-    return r.select("subscription_id", F.concat_ws(",", "applied").alias("applied"), F.size("unknown").cast("long").alias("n_unknown"))
+    r = subscriptions.batch_reply(subscriptions.split_acks(_requests(spark, sf), subscriptions.slim(journal(spark, sf))), "request")
+    return r.select("subscription_id", "request", F.concat_ws(",", "applied").alias("applied"), F.size("unknown").cast("long").alias("n_unknown"))
 
 
 def modify_deadline(spark, sf):
-    r = subscriptions.modify_deadline(_requests(spark, sf), subscriptions.outstanding(journal(spark, sf)), NOW)
+    r = subscriptions.modify_deadline(_requests(spark, sf), subscriptions.slim(journal(spark, sf)), NOW)
     return r.select("subscription_id", "ack_id", "position", "event", "attempt", "deadline", "rejection")
 
 
@@ -135,7 +137,7 @@ def ttl_sweep(spark, sf):
 
 
 def attempts_per_message(spark, sf):
-    return subscriptions.outstanding(journal(spark, sf)).where(F.col("attempts") > 0).select("subscription_id", "ack_id", "attempts")
+    return subscriptions.slim(journal(spark, sf)).where(F.col("attempts") > 0).select("subscription_id", "ack_id", "attempts")
 
 
 def redelivery_counts(spark, sf):
@@ -145,7 +147,7 @@ def redelivery_counts(spark, sf):
 def record_delivery_replay(spark, sf):
     """The whole fan-out once more: what isn't outstanding any longer is delivered again."""
     j = journal(spark, sf)
-    fresh, _ = subscriptions.record_delivery(delivery.fan_out(j), delivery.subscription_index(j).select("subscription_id"), subscriptions.outstanding(j))
+    fresh, _ = subscriptions.record_delivery(delivery.fan_out(j), delivery.subscription_index(j).select("subscription_id"), subscriptions.slim(j))
     return fresh.select("subscription_id", "ack_id")
 
 
@@ -232,12 +234,12 @@ def _owners(spark, sf):
 
 def tenant_qualify(spark, sf):
     o = _owners(spark, sf).withColumn("internal", ids.qualify(F.col("tenant"), F.col("external")))
-    return o.select("c_custkey", "internal", ids.unqualify(F.col("tenant"), F.col("internal")).alias("external"), ids.valid_external(F.col("tenant"), F.col("internal")).alias("external_ok"), ids.belongs(F.lit("CHINA"), F.col("internal")).alias("is_china"))
+    return o.select("c_custkey", "internal", ids.unqualify(F.col("tenant"), F.col("internal")).alias("external"), ids.valid_external(F.col("tenant"), F.col("internal")).alias("external_ok"), ids.belongs(F.lit("NATION_3"), F.col("internal")).alias("is_own"))
 
 
 def tenant_listing(spark, sf):
     o = _owners(spark, sf).select("c_custkey", ids.qualify(F.col("tenant"), F.col("external")).alias("internal"))
-    return tenancy.owned(o, "FRANCE", ["internal"]).select("c_custkey", "internal")
+    return tenancy.owned(o, "NATION_7", ["internal"]).select("c_custkey", "internal")
 
 
 def _keys() -> list[AuthKey]:
