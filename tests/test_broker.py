@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.broker import Broker, status
 from tidemark.config import AuthKey, BrokerConfig
 from tidemark.functions import auth, codec, exposition, ids, messages
-from tidemark.operators import consumers, deadletter, delivery, metrics, readmodels, retention, subscriptions, tenancy, topics
+from tidemark.operators import consumers, deadletter, dedup, delivery, metrics, readmodels, retention, subscriptions, tenancy, topics
 from tidemark.schemas import JOURNAL, SUBSCRIPTION_EVENTS, TERMINAL, TOPIC_COMMANDS
 
 T0 = datetime(2026, 7, 7, 12)
@@ -173,6 +173,16 @@ def test_retention_keeps_two_snapshots(spark):
     assert retention.purged(retention.numbered(j), c).count() == 150
 
 
+def test_numbers_of_a_hot_id_over_many_partitions(spark):
+    rows_ = [(i * 3, "Topic|hot" if i % 4 else f"Topic|{i % 40}", "MessagePublished") for i in range(2000)]
+    got = retention.numbered(spark.createDataFrame(rows_, "ordering long, persistence_id string, type string").repartition(5), parts=13).collect()
+    want, seen = set(), {}
+    for o, pid, kind in rows_:
+        seen[pid] = seen.get(pid, 0) + 1
+        want.add((o, pid, kind, seen[pid]))
+    assert {tuple(r) for r in got} == want and len(got) == 2000
+
+
 def test_delivery_only_to_earlier_subscriptions(spark):
     log = Log().add("TopicCreated", topic="t", labels={}).add("MessagePublished", topic="t", msg=message(0)).add("SubscriptionCreated", sub="s1", topic="t").add("MessagePublished", topic="t", msg=message(1)).add("SubscriptionCreated", sub="s2", topic="t").add("SubscriptionCreated", sub="x", topic="other")
     j = log.add("MessagePublished", topic="t", msg=message(2)).df(spark)
@@ -198,10 +208,12 @@ def test_topic_lifecycle(spark):
     assert rows(topics.snapshot(s), "topic_id") == [("u",)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_dedup_is_the_anchored_fold(spark, seed):
+@pytest.mark.parametrize(("seed", "keys", "parts", "steps"), [(0, 2, 4, 256), (1, 2, 1, 256), (2, 1, 7, 256), (3, 1, 7, 0), (4, 30, 5, 0), (5, 1, 40, 0), (6, 1, 40, 256), (7, 3, 90, 1)])
+def test_dedup_is_the_anchored_fold(spark, monkeypatch, seed, keys, parts, steps):
+    """One hot key over many partitions, windows longer and shorter than a partition, functions that are looked up."""
+    monkeypatch.setattr(dedup, "STEPS", steps)
     rng = random.Random(seed)
-    pubs = [("t", f"m-{i:03}", at(rng.randrange(2000)), rng.choice(["k1", "k2", "", None])) for i in range(300)]
+    pubs = [("t", f"m-{i:03}", at(rng.randrange(2000)), rng.choice([*(f"k{n}" for n in range(keys)) , *(["", None] if keys > 1 else [])])) for i in range(300)]
     seen, want = {}, {}
     for t, m, when, k in sorted(pubs, key=lambda p: (p[2], p[1])):
         first = seen.get(k)
@@ -211,7 +223,7 @@ def test_dedup_is_the_anchored_fold(spark, seed):
             want[m] = m
             if k:
                 seen[k] = (when, m)
-    got = topics.deduplicated(spark.createDataFrame(pubs, "topic_id string, message_id string, publish_time timestamp_ntz, key string"), 60_000)
+    got = topics.deduplicated(spark.createDataFrame(pubs, "topic_id string, message_id string, publish_time timestamp_ntz, key string"), 60_000, parts)
     assert {r["message_id"]: r["original_id"] for r in got.collect()} == want
     assert not topics.deduplicated(spark.createDataFrame(pubs, got.drop("original_id", "deduplicated").schema), 0).where("deduplicated").count()
 

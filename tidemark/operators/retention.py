@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..storage import written
 from .subscriptions import outstanding
 
 
-def numbered(journal: DataFrame) -> DataFrame:
-    """The journal with ``seq_nr``: each persistence id's events from 1."""
-    return journal.withColumn("seq_nr", F.row_number().over(Window.partitionBy("persistence_id").orderBy("ordering")))
+def numbered(journal: DataFrame, parts: int | None = None) -> DataFrame:
+    """The journal with ``seq_nr``: each persistence id's events from 1.
+
+    Events are ranged by (id, ordering), so a busy topic is many partitions. A partition's own counts are numbers within
+    it, and what earlier partitions hold of its ids is added: a row for each partition and id that it shares with others.
+    """
+    parts = parts or int(journal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(journal.repartitionByRange(parts, "persistence_id", "ordering").sortWithinPartitions("persistence_id", "ordering").withColumn("_part", F.spark_partition_id()))
+    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part", "persistence_id").orderBy("ordering")))
+    held = ranged.groupBy("_part", "persistence_id").agg(F.count(F.lit(1)).alias("_held"))
+    before = held.withColumn("_before", F.coalesce(F.sum("_held").over(Window.partitionBy("persistence_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_held")
+    return within.join(before, ["_part", "persistence_id"]).select(*journal.columns, (F.col("_n") + F.col("_before")).cast("int").alias("seq_nr"))
 
 
 def cutoffs(journal: DataFrame, every: int = 100, keep: int = 2) -> DataFrame:

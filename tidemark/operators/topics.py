@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.messages import micros
+from .dedup import deduplicated
 
 
 def active_periods(commands: DataFrame) -> DataFrame:
@@ -49,35 +49,4 @@ def snapshot(state: DataFrame) -> DataFrame:
     return state.where(~F.col("deleted")).select("topic_id", "labels")
 
 
-def deduplicated(published: DataFrame, window_ms: int) -> DataFrame:
-    """``published`` (topic_id, message_id, publish_time, key, ...) with ``original_id`` and ``deduplicated``.
-
-    A publish is a duplicate of the last accepted one with its topic and key, if that lies within the window; duplicates
-    don't move the window. So acceptance is a chain: the next accepted publish is the first one after the window. Order
-    is (publish_time, message_id), a null or empty key is never a duplicate.
-
-    Keys with more than one publish are folded over their publishes in order, which the plan keeps to (key, time, id).
-    A key's gaps cut its chain: after a pause longer than the window the next publish is accepted whatever came before,
-    so the fold runs over each run without such a pause, and a hot key is many small groups.
-    """
-    from pyspark.sql import Window
-
-    w = window_ms * 1000
-    key = F.nullif(F.col("key"), F.lit(""))
-    p = published.withColumn("_key", key).withColumn("_t", micros(F.col("publish_time")))
-    keyed = p.where(F.col("_key").isNotNull() & F.lit(window_ms > 0))
-    plain = p.where(F.col("_key").isNull() | F.lit(window_ms <= 0)).select(*published.columns, F.col("message_id").alias("original_id"), F.lit(False).alias("deduplicated"))
-    order = Window.partitionBy("topic_id", "_key").orderBy("_t", "message_id")
-    runs = keyed.withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(order) > w, F.lit(True)).cast("int"))
-    runs = runs.withColumn("_run", F.sum("_new").over(order))
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("id"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, x):
-        dup = F.coalesce(a["t"] >= x["_t"] - w, F.lit(False))
-        # the list of originals grows by one; a run is short, as it ends at the first pause
-        return F.struct(F.when(dup, a["t"]).otherwise(x["_t"]).alias("t"), F.when(dup, a["id"]).otherwise(x["message_id"]).alias("id"), F.concat(a["out"], F.array(F.when(dup, a["id"]).otherwise(x["message_id"]))).alias("out"))
-
-    folded = runs.groupBy("topic_id", "_key", "_run").agg(F.sort_array(F.collect_list(F.struct("_t", "message_id", *[c for c in published.columns if c not in ("topic_id", "message_id")]))).alias("xs"))
-    folded = folded.withColumn("os", F.aggregate("xs", start, step, lambda a: a["out"]))
-    rows = folded.select("topic_id", F.explode(F.arrays_zip("xs", "os")).alias("z")).select("topic_id", "z.xs.*", F.col("z.os").alias("original_id"))
-    return rows.select(*published.columns, "original_id", (F.col("original_id") != F.col("message_id")).alias("deduplicated")).unionByName(plain)
+__all__ = ["active_periods", "decide", "deduplicated", "events_of", "snapshot", "state"]
