@@ -7,10 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.broker import Broker, status
+from tidemark.client import BrokerError, Client
 from tidemark.config import AuthKey, BrokerConfig
 from tidemark.functions import auth, codec, exposition, ids, messages
 from tidemark.operators import consumers, deadletter, dedup, delivery, metrics, readmodels, retention, subscriptions, tenancy, topics
-from tidemark.schemas import JOURNAL, SUBSCRIPTION_EVENTS, TERMINAL, TOPIC_COMMANDS
+from tidemark.schemas import JOURNAL, MESSAGE, READ_MODELS, SUBSCRIPTION_EVENTS, TERMINAL, TOPIC_COMMANDS, create_tables
+from tidemark.sources import journal as store
 
 T0 = datetime(2026, 7, 7, 12)
 
@@ -307,33 +309,143 @@ def test_config_defaults():
     assert BrokerConfig.seeds_of(" a, ,b ", "me") == ("a", "b") and BrokerConfig.seeds_of("", "me") == ("me",)
 
 
-def test_broker_from_topic_to_ack(spark, tmp_path):
-    b = Broker(spark, str(tmp_path / "journal"), BrokerConfig(dedup_window_ms=60_000))
-    b.commit(Log().add("TopicCreated", topic="orders", labels={"a": "b"}).add("SubscriptionCreated", sub="s1", topic="orders").df(spark))
-    pub = lambda o, i, t="orders", key=None: (o, t, "Publish", None, message(i, i, key=key))
-    d = b.publish(spark.createDataFrame([pub(10, 1), pub(11, 2, key="k"), pub(12, 3, key="k"), pub(13, 4, t="none")], TOPIC_COMMANDS)).orderBy("ordering").collect()
-    assert [(r["outcome"], r["status"]["rest"], r["original_id"], r["deduplicated"]) for r in d] == [("Published", 202, "m-1", False), ("Published", 202, "m-2", False), ("Published", 202, "m-2", True), ("TopicNotFound", 404, None, None)]
-    again = b.topic_command(commands(spark, ("orders", "Create", {})).withColumn("ordering", F.lit(20).cast("long"))).first()
-    assert (again["outcome"], again["status"]["rpc"]) == ("TopicAlreadyExists", "ALREADY_EXISTS")
-    made = b.create_subscription(spark.createDataFrame([("s1", "orders", 30), ("s2", "nowhere", 31), (" ", "orders", 32)], "subscription_id string, topic_id string, ordering long"))
-    assert rows(made, "outcome") == [("Created",), ("SubscriptionAlreadyExists",), ("ValidationError",)]
-    log = Log()
-    log.rows = [None] * 10
-    for i in (1, 2):
-        log.add("MessagePublished", topic="orders", msg=message(i, i))
-    log.rows = log.rows[10:]
-    b.commit(log.df(spark))
-    due = b.deliver()
-    assert rows(due, "ack_id") == [("s1:m-1",), ("s1:m-2",)]
-    b.commit(due.select((F.col("ordering") + 100).alias("ordering"), F.concat(F.lit("Subscription|"), "subscription_id").alias("persistence_id"), F.lit("MessageDelivered").alias("type"), F.lit(None).cast("string").alias("topic_id"), F.lit(None).cast("string").alias("subscription_id"), F.lit(None).cast("map<string,string>").alias("labels"), "message", "ack_id", F.lit(None).cast("array<string>").alias("ack_ids"), F.lit(None).cast("timestamp_ntz").alias("deadline"), F.lit(None).cast("int").alias("attempt")))
-    assert b.deliver().count() == 0
-    got = b.pull(str(at(60))).orderBy("position").collect()
-    assert [(r["ack_id"], r["payload"], r["publish_time"]) for r in got] == [("s1:m-1", "hi", "2026-07-07T12:00:01Z"), ("s1:m-2", "hi", "2026-07-07T12:00:02Z")]
-    req = spark.createDataFrame([("s1", "s1:m-1", 0), ("zz", "q", 0)], "subscription_id string, ack_id string, position long")
-    assert rows(b.acknowledge(req), "subscription_id", "outcome") == [("s1", "Accepted"), ("zz", "Accepted")]
-    assert rows(b.acknowledge(req, rpc=True), "subscription_id", "outcome") == [("s1", "Accepted"), ("zz", "SubscriptionNotFound")]
-    assert rows(b.list_subscriptions(str(at(60))), "subscription_id", "backlog", "oldest_age_seconds") == [("s1", 2, 59)]
-    assert rows(b.list_topics(), "topic_id", "published_total") == [("orders", 2)]
-    assert rows(b.get_topic(), "topic_id") == [("orders",)]
-    assert b.sweep(str(at(60))).count() == 0 and b.sweep_ttl(str(at(60))).count() == 0
+def reqs(spark, schema, *items):
+    return spark.createDataFrame([(*x, i) for i, x in enumerate(items)], f"{schema}, position long")
+
+
+PUBLISH = "topic_id string, message_id string, payload binary, attributes map<string,string>, ttl_seconds long, idempotency_key string"
+
+
+def test_broker_from_publish_to_dead_letter(spark, tmp_path):
+    """No event is made by hand: publish, deliver, pull, lapse, redeliver, dead-letter, republish; acks, deadlines, TTL and snapshots on the way."""
+    b = Broker(spark, str(tmp_path / "journal"), BrokerConfig(dedup_window_ms=60_000, dead_letter_topic="dlq", max_delivery_attempts=2, snapshot_every=5, default_ttl_ms=86_400_000))
+    assert b.ready() == (200, "UP") == b.health()
+    d = b.topic_command(reqs(spark, "topic_id string, kind string, labels map<string,string>", ("orders", "Create", {"a": "b"}), ("orders", "Create", {}), ("dlq", "Create", {}), ("none", "Update", {}), (" ", "Create", {}), ("old", "Create", {}), ("old", "Delete", None)))
+    assert [(r["outcome"], r["status"]["rest"]) for r in d.orderBy("position").collect()] == [("Created", 201), ("TopicAlreadyExists", 409), ("Created", 201), ("TopicNotFound", 404), ("ValidationError", 400), ("Created", 201), ("Deleted", 204)]
+    again = b.topic_command(reqs(spark, "topic_id string, kind string", ("orders", "Create"), ("orders", "Update"), ("old", "Create"))).orderBy("position").collect()
+    assert [r["status"]["rpc"] for r in again] == ["ALREADY_EXISTS", "OK", "ALREADY_EXISTS"]
+    assert rows(b.get_topic(), "topic_id", "labels") == [("dlq", {}), ("orders", {})]
+    made = b.create_subscription(reqs(spark, "subscription_id string, topic_id string", ("s1", "orders"), ("s1", "orders"), ("s2", "nowhere"), (" ", "orders"), ("dead", "dlq")))
+    assert [r["outcome"] for r in made.orderBy("position").collect()] == ["Created", "SubscriptionAlreadyExists", "Created", "ValidationError", "Created"]
+
+    d = b.publish(reqs(spark, PUBLISH, ("orders", "m-1", b"one", {"x": "y"}, None, "k"), ("orders", "m-2", b"two", None, 30, "k"), ("none", "m-3", b"", None, None, None), ("orders", "m-4", b"four", None, 20, ""), ("old", "m-5", b"", None, None, None)), str(at(0)))
+    assert [(r["outcome"], r["status"]["rest"], r["message_id"], r["deduplicated"], r["expire_time"]) for r in d.orderBy("position").collect()] == [("Published", 202, "m-1", False, at(86_400)), ("Published", 202, "m-1", True, at(30)), ("TopicNotFound", 404, None, None, None), ("Published", 202, "m-4", False, at(20)), ("TopicNotFound", 404, None, None, None)]
+    later = b.publish(reqs(spark, PUBLISH, ("orders", "m-6", b"six", None, None, "k")), str(at(60))).first()
+    assert (later["message_id"], later["deduplicated"]) == ("m-1", True)  # the window's end is within it
+    assert b.publish(reqs(spark, PUBLISH, ("orders", "m-7", b"seven", None, None, "k")), str(at(61))).first()["deduplicated"] is False
+    assert (b.deliver(), b.deliver()) == (3, 0)
+
+    p = b.pull(reqs(spark, "subscription_id string, max int, consumer_id string", ("s1", 1, "c1"), ("s1", None, "c2"), ("zz", 1, "c3"), ("s1", 0, None), ("s2", 5, " ")), str(at(10)))
+    assert [(r["outcome"], r["status"]["rest"], [m["ack_id"] for m in r["messages"]]) for r in p.orderBy("position").collect()] == [("Accepted", 200, ["s1:m-1"]), ("Accepted", 200, ["s1:m-4", "s1:m-7"]), ("SubscriptionNotFound", 404, []), ("Accepted", 200, []), ("Accepted", 200, [])]
+    m = p.orderBy("position").first()["messages"][0]
+    assert (m["payload"], m["attributes"], m["publish_time"]) == ("one", {"x": "y"}, "2026-07-07T12:00:00Z")
+    assert b.pull(reqs(spark, "subscription_id string", ("s1",)), str(at(11))).first()["messages"] == []
+    assert rows(b.calls(), "subscription_id", "consumer_id") == [("s1", "c1"), ("s1", "c2"), ("zz", "c3")]
+    assert (b.sweep(str(at(39))), b.sweep_ttl(str(at(19)))) == (0, 0)
+    assert b.sweep_ttl(str(at(20))) == 1  # m-4, though it is leased
+
+    head = b.snapshot()
+    assert head == store.head(spark, b.path) and b.snapshot() is None
+    assert rows(b.state(), "ack_id", "lease_state", "attempts") == [("s1:m-1", "Leased", 0), ("s1:m-7", "Leased", 0)]
+    assert b.sweep(str(at(40))) == 2 and rows(b.state(), "ack_id", "lease_state", "attempts") == [("s1:m-1", "Available", 1), ("s1:m-7", "Available", 1)]
+    b.pull(reqs(spark, "subscription_id string", ("s1",)), str(at(50)))
+    ask = "subscription_id string, ack_id string, deadline_ms long"
+    m = b.modify_deadline(reqs(spark, ask, ("s1", "s1:m-7", 60_000), ("s1", "gone", 1), ("zz", "q", 1)), str(at(55)))
+    assert rows(m, "subscription_id", "modified", "unknown", "outcome") == [("s1", ["s1:m-7"], ["gone"], "Accepted"), ("zz", [], ["q"], "SubscriptionNotFound")]
+    assert b.sweep(str(at(80))) == 1  # m-1 for the second time
+    assert b.snapshot() is not None
+    letters = b.republish_dead_letters()
+    assert rows(letters, "message_id", "source_subscription", "attempt", "outcome") == [("dead-letter:s1:m-1", "s1", 2, "Published")]
+    assert b.republish_dead_letters().count() == 0 and b.deliver() == 1
+    got = b.pull(reqs(spark, "subscription_id string", ("dead",)), str(at(90))).first()["messages"]
+    assert [x["ack_id"] for x in got] == ["dead:dead-letter:s1:m-1"] and got[0]["attributes"]["x-original-message-id"] == "m-1"
+
+    req = reqs(spark, "subscription_id string, ack_id string", ("s1", "s1:m-7"), ("s1", "s1:m-7"), ("s1", " "), ("zz", "q"))
+    assert rows(b.acknowledge(req, rpc=True), "subscription_id", "applied", "unknown", "outcome") == [("s1", ["s1:m-7"], ["s1:m-7", " "], "Accepted"), ("zz", [], ["q"], "SubscriptionNotFound")]
+    assert rows(b.acknowledge(req), "subscription_id", "applied", "outcome") == [("s1", [], "Accepted"), ("zz", [], "Accepted")]
+    assert rows(b.list_subscriptions(str(at(100))), "subscription_id", "backlog", "redelivered_total", "dead_lettered_total") == [("dead", 1, 0, 0), ("s1", 0, 2, 1), ("s2", 0, 0, 0)]
+    assert rows(b.list_topics(), "topic_id", "published_total", "deleted") == [("dlq", 1, False), ("old", 0, True), ("orders", 3, False)]
+    b.snapshot()
+    assert len(store.snapshots(spark, f"{b.path}/_snapshots")) == 2
+    kept = store.snapshots(spark, f"{b.path}/_snapshots")
+    assert b.journal().where(F.col("type").isin("MessageLeased", "AckDeadlineModified") & (F.col("ordering") <= kept[0])).count() == 0
+    assert rows(b.state(), "ack_id", "lease_state", "attempts") == [("dead:dead-letter:s1:m-1", "Leased", 0)]
+    page = exposition.exposition(b.metrics(str(at(62))))
+    assert 'broker_subscription_consumers{subscription="s1"} 2' in page and 'broker_messages_dead_lettered_total{subscription="s1"} 1' in page
     assert spark.range(1).select(status(F.lit("?"))["rest"]).first()[0] == 500
+
+
+def test_pulls_of_a_batch_are_disjoint(spark):
+    state = spark.createDataFrame([("s" if i % 3 else f"t{i % 2}", f"a{i:03}", i, message(i, i), "Available", None, 0) for i in range(200)], "subscription_id string, ack_id string, delivered long, message " + MESSAGE + ", lease_state string, deadline timestamp_ntz, attempts int")
+    asked = spark.createDataFrame([("s", i, i % 7 - 1) for i in range(40)] + [("t0", 50, 1000), ("none", 51, 3)], "subscription_id string, position long, max int")
+    got = subscriptions.assigned(state, asked, str(at(0))).collect()
+    left, want = {s: [f"a{i:03}" for i in range(200) if (s == "s") == bool(i % 3) and (s == "s" or f"t{i % 2}" == s)] for s in ("s", "t0")}, {}
+    for s, pos, n in [("s", i, i % 7 - 1) for i in range(40)] + [("t0", 50, 1000)]:
+        for a in left[s][: max(0, n)]:
+            want[a] = pos
+        left[s] = left[s][max(0, n) :]
+    assert {r["ack_id"]: r["position"] for r in got} == want and len(got) == len(want)
+
+
+def test_tenants_and_scopes_in_the_verbs(spark, tmp_path):
+    import base64
+    import hashlib
+
+    key = lambda t, token, *scopes: AuthKey(t, base64.b64encode(b"s").decode(), base64.b64encode(hashlib.sha256(b"s" + token.encode()).digest()).decode(), frozenset(scopes))
+    b = Broker(spark, str(tmp_path / "journal"), BrokerConfig(auth_enabled=True, auth_keys=(key("acme", "one", "admin"), key("acme", "two"), key("other", "three", "admin"))))
+    who = "authorization string, api_key string"
+    d = b.topic_command(reqs(spark, f"topic_id string, kind string, {who}", ("t", "Create", "Bearer one", None), ("t", "Create", None, "three"), ("u", "Create", "Bearer two", None), ("u", "Create", None, None), ("a~b", "Create", "Bearer one", None)))
+    assert [(r["topic_id"], r["outcome"], r["status"]["rest"]) for r in d.orderBy("position").collect()] == [("t", "Created", 201), ("t", "Created", 201), ("u", "Forbidden", 403), ("u", "Unauthenticated", 401), ("a~b", "ValidationError", 400)]
+    assert rows(b.get_topic("acme"), "topic_id") == [("t",)] and rows(b.get_topic(), "topic_id") == []
+    b.create_subscription(reqs(spark, f"subscription_id string, topic_id string, {who}", ("s", "t", "Bearer two", None), ("s", "t", "Bearer three", None)))
+    b.publish(reqs(spark, PUBLISH + ", " + who, ("t", "m-1", b"x", None, None, None, "Bearer two", None), ("t", "m-2", b"x", None, None, None, "Bearer nobody", None)), str(at(0)))
+    assert b.deliver() == 1
+    p = b.pull(reqs(spark, f"subscription_id string, max int, consumer_id string, {who}", ("s", 5, "c", "Bearer three", None), ("s", 5, "c", "Bearer two", None), ("s", 5, "c", None, None)), str(at(1))).orderBy("position").collect()
+    assert [(r["subscription_id"], r["outcome"], len(r["messages"])) for r in p] == [("s", "Accepted", 0), ("s", "Accepted", 1), ("s", "Unauthenticated", 0)]
+    ack = p[1]["messages"][0]["ack_id"]
+    got = b.acknowledge(reqs(spark, f"subscription_id string, ack_id string, {who}", ("s", ack, "Bearer three", None), ("s", ack, None, "two")), rpc=True)
+    assert sorted((r["applied"], r["unknown"]) for r in got.collect()) == [([], [ack]), ([ack], [])]
+    assert rows(b.list_subscriptions(str(at(2)), "acme"), "subscription_id", "topic_id", "backlog") == [("s", "t", 0)]
+    assert rows(b.list_topics("other"), "topic_id", "published_total") == [("t", 0)] and b.list_topics().count() == 0
+
+
+def test_client(spark, tmp_path):
+    c = Client(Broker(spark, str(tmp_path / "journal")), clock=lambda: str(at(0)))
+    c.create_topic("t", {"a": "b"})
+    c.update_topic("t", {"c": "d"})
+    assert c.get_topic("t") == {"c": "d"}
+    with pytest.raises(BrokerError, match="TopicAlreadyExists"):
+        c.create_topic("t")
+    c.create_subscription("s", "t")
+    sent = c.publish("t", "hello", {"k": "v"})
+    c.broker.deliver()
+    (m,) = c.pull("s")
+    assert (m["message_id"], m["payload"], m["attributes"]) == (sent, "hello", {"k": "v"})
+    assert c.ack("s", [m["ack_id"], "x"]) == [m["ack_id"]] and c.ack("s", []) == []
+    c.delete_topic("t")
+    for call in (lambda: c.get_topic("t"), lambda: c.publish("t", b"x"), lambda: c.pull("none")):
+        with pytest.raises(BrokerError) as e:
+            call()
+        assert (e.value.rest, e.value.rpc) == (404, "NOT_FOUND")
+
+
+def test_tables_are_made_once_and_readiness_fails_without_a_journal(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS views LOCATION '{tmp_path}/views'")
+    for _ in range(2):
+        Broker(spark, str(tmp_path / "j"), BrokerConfig(database="views"))
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES IN views").collect()} == set(READ_MODELS)
+    with pytest.raises(Exception):
+        create_tables(spark, "no such database", max_wait_ms=20, step_ms=10)
+    (tmp_path / "broken" / "commit=0").mkdir(parents=True)
+    (tmp_path / "broken" / "commit=0" / "x.parquet").write_text("no table")
+    assert Broker(spark, str(tmp_path / "broken")).ready() == (503, "DOWN")
+
+
+def test_requests_from_files(spark, tmp_path):
+    commands(spark, ("t", "Create", {"a": "1"}), (" ", "Create", {})).write.json(str(tmp_path / "topics"))
+    got = store.validated(store.topic_commands(spark, str(tmp_path / "topics")), ["topic_id"])
+    assert rows(got, "topic_id", "kind", "labels") == [("t", "Create", {"a": "1"})]
+    spark.createDataFrame([(1, "s", "Pull", 5)], "ordering long, subscription_id string, kind string, max int").write.parquet(str(tmp_path / "subs"))
+    assert rows(store.subscription_commands(spark, str(tmp_path / "subs"), "parquet"), "subscription_id", "kind", "max") == [("s", "Pull", 5)]
+    assert rows(delivery.sets_per_topic(delivery.subscription_index(started().add("SubscriptionCreated", sub="s0", topic="orders").df(spark))), "topic_id", "subscription_ids") == [("orders", ["s0", "s1"])]
+    assert spark.createDataFrame([(at(0), at(60))], "a timestamp_ntz, b timestamp_ntz").select(messages.within(F.col("a"), F.col("b"), 60_000), messages.within(F.col("a"), F.col("b"), 59_999)).first()[:] == (True, False)

@@ -46,5 +46,5 @@ def test_entry(spark):
 
 def test_nothing_else_imports_the_corpus_operators():
     root = os.path.dirname(os.path.abspath(entry.__file__))
-    code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('tidemark.llm') or n == 'corpus_pipeline' else f(n, *a); import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert 'topic_stats' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert not any(m.startswith('tidemark.llm') for m in sys.modules)"
+    code = "import sys; sys.modules['tidemark.llm'] = sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); assert 'topic_stats' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert not any(m.startswith('tidemark.llm.') for m in sys.modules)"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True).returncode == 0

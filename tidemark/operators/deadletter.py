@@ -31,3 +31,9 @@ def routed(letters: DataFrame, topics: DataFrame) -> DataFrame:
     """Letters with the dead-letter topic's real outcome: Published, or the rejection of a topic that isn't there."""
     there = topics.select("topic_id").distinct().withColumn("_there", F.lit(True))
     return letters.join(there, "topic_id", "left").withColumn("outcome", F.when(F.col("_there"), "Published").otherwise("TopicNotFound")).drop("_there")
+
+
+def unsent(letters: DataFrame, published: DataFrame) -> DataFrame:
+    """The letters that aren't among the published messages (message_id) of their topic yet, so a replay republishes nothing."""
+    sent = published.select(F.col("message_id").alias("_sent"))
+    return letters.join(sent, F.col("message.message_id") == F.col("_sent"), "left_anti")

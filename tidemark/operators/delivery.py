@@ -16,6 +16,11 @@ def subscriptions_of(index: DataFrame, topic_id: str) -> DataFrame:
     return index.where(F.col("topic_id") == topic_id).select("subscription_id")
 
 
+def sets_per_topic(index: DataFrame) -> DataFrame:
+    """(topic_id, subscription_ids): the set of each topic's subscriptions, in order. Subscriptions of one topic are few enough for a row."""
+    return index.groupBy("topic_id").agg(F.sort_array(F.collect_set("subscription_id")).alias("subscription_ids"))
+
+
 def per_topic(index: DataFrame) -> DataFrame:
     """(topic_id, subscriptions): how many there are."""
     return index.groupBy("topic_id").agg(F.count(F.lit(1)).alias("subscriptions"))

@@ -34,19 +34,22 @@ def purged(numbered: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return numbered.join(cutoffs.select("persistence_id", "cutoff"), "persistence_id").where(F.col("seq_nr") > F.col("cutoff")).drop("cutoff")
 
 
-def compacted(journal: DataFrame, upto: int) -> DataFrame:
-    """A snapshot of all subscriptions at an ordering: state as events that fold to it (a delivery, then its lease or failures)."""
-    s = outstanding(journal.where(F.col("ordering") <= upto))
+def as_events(state: DataFrame) -> DataFrame:
+    """A state as events that fold to it: a delivery, then its failures or its lease."""
     pid = F.concat(F.lit("Subscription|"), "subscription_id")
     leased = F.col("lease_state") == "Leased"
-    event = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[more.get(c, F.lit(None).cast(t)).alias(c) for c, t in (("message", s.schema["message"].dataType), ("deadline", "timestamp_ntz"), ("attempt", "int"))])
+    event = lambda kind, **more: F.struct(F.lit(kind).alias("type"), *[more.get(c, F.lit(None).cast(t)).alias(c) for c, t in (("message", state.schema["message"].dataType), ("deadline", "timestamp_ntz"), ("attempt", "int"))])
     parts = F.array(event("MessageDelivered", message=F.col("message")), F.when(F.col("attempts") > 0, event("AckDeadlineExpired", attempt=F.col("attempts"))), F.when(leased, event("AckDeadlineModified", deadline=F.col("deadline"))))
-    rows = s.select(pid.alias("persistence_id"), "ack_id", F.col("delivered").alias("at"), F.posexplode(parts).alias("k", "e")).where(F.col("e").isNotNull())
-    return rows.select((F.col("at") + F.col("k") / 10).alias("ordering"), "persistence_id", "ack_id", "e.*")
+    rows = state.select(pid.alias("persistence_id"), "ack_id", F.col("delivered").alias("at"), F.posexplode(parts).alias("k", "e")).where(F.col("e").isNotNull())
+    return rows.select((F.col("at") + F.col("k") / 10).alias("ordering"), "persistence_id", "ack_id", F.lit(None).cast("array<string>").alias("ack_ids"), "e.*")
 
 
-def recovered(journal: DataFrame, upto: int) -> DataFrame:
+def resumed(state: DataFrame, journal: DataFrame, upto: int) -> DataFrame:
     """The outstanding state from a snapshot at ``upto`` and the events after it."""
     tail = journal.where(F.col("ordering") > upto).select(F.col("ordering").cast("double").alias("ordering"), "persistence_id", "ack_id", "ack_ids", "type", "message", "deadline", "attempt")
-    snap = compacted(journal, upto).withColumn("ack_ids", F.lit(None).cast("array<string>"))
-    return outstanding(snap.unionByName(tail)).withColumn("delivered", F.floor("delivered").cast("long"))
+    return outstanding(as_events(state).unionByName(tail)).withColumn("delivered", F.floor("delivered").cast("long"))
+
+
+def recovered(journal: DataFrame, upto: int) -> DataFrame:
+    """The outstanding state by way of a snapshot at ``upto``."""
+    return resumed(outstanding(journal.where(F.col("ordering") <= upto)), journal, upto)

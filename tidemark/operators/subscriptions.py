@@ -90,6 +90,20 @@ def lease(state: DataFrame, limit: int, now, ack_deadline_ms: int = 30_000) -> D
     return taken.groupBy("subscription_id").agg(F.sort_array(F.collect_list(F.struct("position", "ack_id"))).alias("x")).select("subscription_id", F.col("x.ack_id").alias("ack_ids"), plus_ms(instant(now), ack_deadline_ms).alias("deadline"))
 
 
+def assigned(state: DataFrame, requests: DataFrame, now) -> DataFrame:
+    """(subscription_id, position, ack_id, rank, message): what each of several pulls gets, disjoint by their positions.
+
+    ``requests``: (subscription_id, position, max). The first request of a subscription takes its first ``max`` messages,
+    the next one those after them. No subscription is ranked further than its requests ask for in sum.
+    """
+    asked = requests.where(F.col("max") > 0)
+    order = Window.partitionBy("subscription_id").orderBy("position")
+    spans = asked.withColumn("upto", F.sum("max").over(order)).select("subscription_id", "position", "upto", (F.col("upto") - F.col("max")).alias("after"))
+    most = spans.agg(F.max("upto")).collect()[0][0] or 0
+    ranked = pull(state.join(spans.select("subscription_id").distinct(), "subscription_id", "left_semi"), most, now).select("subscription_id", F.col("position").alias("rank"), "ack_id", "message")
+    return ranked.join(spans, "subscription_id").where((F.col("rank") > F.col("after")) & (F.col("rank") <= F.col("upto"))).select("subscription_id", "position", "ack_id", "rank", "message")
+
+
 def split_acks(requests: DataFrame, state: DataFrame) -> DataFrame:
     """Requests (subscription_id, ack_id, position, ...) with ``known``: whether the ack id is outstanding.
 
@@ -144,4 +158,4 @@ def exists(subscription_ids: DataFrame, journal: DataFrame) -> DataFrame:
     return subscription_ids.join(made, "subscription_id", "left_semi")
 
 
-__all__ = ["ack_id", "acknowledge", "batch_reply", "by_ack", "create", "exists", "expire_deadlines", "expire_messages", "lease", "modify_deadline", "outstanding", "pull", "record_delivery", "slim", "split_acks", "with_messages"]
+__all__ = ["ack_id", "acknowledge", "assigned", "batch_reply", "by_ack", "create", "exists", "expire_deadlines", "expire_messages", "lease", "modify_deadline", "outstanding", "pull", "record_delivery", "slim", "split_acks", "with_messages"]

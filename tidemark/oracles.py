@@ -112,6 +112,9 @@ ORACLES = {
     "redelivery_sweep": _j("SELECT subscription_id, ack_id, CASE WHEN attempts + 1 >= 5 THEN 'MessageDeadLettered' ELSE 'AckDeadlineExpired' END AS event, attempts + 1 AS attempt FROM due"),
     "dead_letter_candidates": _j("SELECT subscription_id, ack_id, message_id, attempts + 1 AS attempt FROM due"),
     "dead_letter_messages": _j("SELECT 'view' AS topic_id, 'dead-letter:' || sub || ':' || message_id AS message_id, publish_time, NULL::TIMESTAMP AS expire_time, NULL::VARCHAR AS idempotency_key, sub AS h_subscription, attempt::VARCHAR AS h_attempts, message_id AS h_original, u AS user, 'Published' AS outcome FROM a WHERE type = 'MessageDeadLettered'"),
+    "dead_letter_republish": _j("SELECT 'view' AS topic_id, 'dead-letter:' || sub || ':' || message_id AS message_id, sub AS source_subscription, attempt FROM a WHERE type = 'MessageDeadLettered' AND split_part(message_id, '-', 2)::BIGINT % 2 = 1"),
+    "pull_twice_disjoint": _j(f"SELECT subscription_id, (n > 7)::INTEGER AS position, ack_id, n::INTEGER AS rank FROM (SELECT subscription_id, ack_id, row_number() OVER (PARTITION BY subscription_id ORDER BY delivered, ack_id) AS n FROM o WHERE lease_state = 'Available' AND (expire_time IS NULL OR expire_time > TIMESTAMP '{NOW}')) WHERE n <= 12"),
+    "subscription_sets": _j("SELECT topic_id, string_agg(subscription_id, ',' ORDER BY subscription_id) AS subscription_ids FROM subs GROUP BY 1"),
     "ttl_sweep": _j(f"SELECT subscription_id, ack_id, 'MessageExpired' AS event FROM o JOIN expiring e USING (subscription_id, ack_id) WHERE e.expire_time <= TIMESTAMP '{NOW}' AND o.expire_time <= TIMESTAMP '{NOW}'"),
     "attempts_per_message": _j("SELECT subscription_id, ack_id, attempts FROM o WHERE attempts > 0"),
     "redelivery_counts": _j("SELECT subscription_id, redelivered_total, dead_lettered_total FROM counters"),

@@ -80,6 +80,12 @@ def pull_topk(spark, sf):
     return subscriptions.pull(subscriptions.outstanding(journal(spark, sf)), 10, NOW).select("subscription_id", "position", "ack_id", messages.text(F.col("message.payload")).alias("payload"), messages.iso(F.col("message.publish_time")).alias("publish_time"))
 
 
+def pull_twice_disjoint(spark, sf):
+    """Two pulls of every subscription, of seven messages and of five: the second goes on where the first ends."""
+    asked = subscription_index(spark, sf).select("subscription_id", F.explode(F.array(F.struct(F.lit(0).alias("position"), F.lit(7).alias("max")), F.struct(F.lit(1).alias("position"), F.lit(5).alias("max")))).alias("r")).select("subscription_id", "r.*")
+    return subscriptions.assigned(subscriptions.outstanding(journal(spark, sf)), asked, NOW).select("subscription_id", "position", "ack_id", "rank")
+
+
 def lease_events(spark, sf):
     return subscriptions.lease(subscriptions.outstanding(journal(spark, sf)), 100, NOW).select("subscription_id", F.concat_ws(",", "ack_ids").alias("ack_ids"), "deadline")
 
@@ -131,6 +137,14 @@ def dead_letter_messages(spark, sf):
     return d.select("topic_id", F.col("message.message_id").alias("message_id"), F.col("message.publish_time").alias("publish_time"), F.col("message.expire_time").alias("expire_time"), F.col("message.idempotency_key").alias("idempotency_key"), a[deadletter.SUBSCRIPTION_HEADER].alias("h_subscription"), a[deadletter.ATTEMPTS_HEADER].alias("h_attempts"), a[deadletter.ORIGINAL_HEADER].alias("h_original"), a["user"].alias("user"), "outcome")
 
 
+def dead_letter_republish(spark, sf):
+    """The letters that are left to publish when those of even events have been."""
+    letters = deadletter.dead_letters(journal(spark, sf), "view")
+    number = F.regexp_extract("message.message_id", r"(\d+)$", 1).cast("long")
+    sent = letters.where(number % 2 == 0).select("message.message_id")
+    return deadletter.unsent(letters, sent).select("topic_id", F.col("message.message_id").alias("message_id"), "source_subscription", "attempt")
+
+
 def ttl_sweep(spark, sf):
     j = journal(spark, sf)
     return subscriptions.expire_messages(readmodels.past(readmodels.expiring(j), NOW), subscriptions.outstanding(j), NOW)
@@ -156,6 +170,10 @@ def existing_subscriptions(spark, sf):
     return subscriptions.exists(asked, journal(spark, sf))
 
 
+def subscription_sets(spark, sf):
+    return delivery.sets_per_topic(subscription_index(spark, sf)).select("topic_id", F.concat_ws(",", "subscription_ids").alias("subscription_ids"))
+
+
 def topic_lookup(spark, sf):
     return delivery.subscriptions_of(subscription_index(spark, sf), "click")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 MESSAGE = "struct<message_id:string,payload:binary,attributes:map<string,string>,publish_time:timestamp_ntz,expire_time:timestamp_ntz,idempotency_key:string>"
 
 JOURNAL = f"ordering long, persistence_id string, type string, topic_id string, subscription_id string, labels map<string,string>, message {MESSAGE}, ack_id string, ack_ids array<string>, deadline timestamp_ntz, attempt int"
@@ -33,7 +35,16 @@ TAGS = {
 TERMINAL = ["MessageAcknowledged", "MessageDeadLettered", "MessageExpired"]
 
 
-def create_tables(spark, database: str = "default") -> None:
-    """The read models' tables, where they don't exist yet."""
-    for name, ddl in READ_MODELS.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({ddl}) USING parquet")
+def create_tables(spark, database: str = "default", max_wait_ms: int = 0, step_ms: int = 1_000) -> None:
+    """The read models' tables, where they don't exist yet; a catalog that isn't there is tried again until the wait is over."""
+    end = time.monotonic() + max_wait_ms / 1000
+    while True:
+        try:
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+            for name, ddl in READ_MODELS.items():
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({ddl}) USING parquet")
+            return
+        except Exception:
+            if time.monotonic() + step_ms / 1000 > end:
+                raise
+            time.sleep(step_ms / 1000)

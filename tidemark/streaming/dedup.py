@@ -18,7 +18,7 @@ OUT = "topic_id string, key string, message_id string, original_id string, dedup
 
 
 def deduplicated(published: DataFrame, window_ms: int, lateness: str = "1 minute") -> DataFrame:
-    """``published``: a stream (topic_id, message_id, publish_time, key) without null keys, in order of time by batches."""
+    """``published``: a stream (topic_id, message_id, publish_time, key), in order of time by batches. Publishes without a key, or with an empty one, go around the state."""
     window = window_ms * 1000
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -38,4 +38,10 @@ def deduplicated(published: DataFrame, window_ms: int, lateness: str = "1 minute
         yield pd.DataFrame(out, columns=["topic_id", "key", "message_id", "original_id", "deduplicated"])
 
     timed = published.withColumn("at", F.col("publish_time").cast("timestamp")).withColumn("micros", micros(F.col("publish_time"))).withWatermark("at", lateness)
+    keyless = F.length(F.coalesce("key", F.lit(""))) == 0
+    plain = timed.where(keyless).select("topic_id", "key", "message_id", F.col("message_id").alias("original_id"), F.lit(False).alias("deduplicated"))
+    return plain.unionByName(_keyed(timed.where(~keyless), fold))
+
+
+def _keyed(timed: DataFrame, fold) -> DataFrame:
     return timed.groupBy("topic_id", "key").applyInPandasWithState(fold, OUT, "at long, first string", "append", GroupStateTimeout.EventTimeTimeout)

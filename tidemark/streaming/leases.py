@@ -1,6 +1,8 @@
 """Leases with timers: a stream of lease, acknowledgement and deadline events gives expiries and dead letters.
 
-Each (subscription, ack id) holds its deadline and attempts; its timer fires when the watermark passes the deadline.
+Each outstanding (subscription, ack id) holds its deadline and attempts; its timer fires when the watermark passes the
+deadline. State begins with the delivery and ends with the removal, and lease events without it are ignored, so one that
+comes after an acknowledgement does nothing. The stream has to begin with the journal.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.messages import micros
+from ..schemas import TERMINAL
 
 OUT = "subscription_id string, ack_id string, event string, attempt int"
 
@@ -33,23 +36,22 @@ def expiries(journal: DataFrame, max_attempts: int = 5, lateness: str = "0 secon
                 state.update((None, attempt))
             yield pd.DataFrame([(key[0], key[1], "MessageDeadLettered" if dead else "AckDeadlineExpired", attempt)], columns=["subscription_id", "ack_id", "event", "attempt"])
             return
-        gone = False
+        there = state.exists
         for _, kind, at, attempt in sorted(r for b in batches for r in zip(b["ordering"], b["type"], b["due"], b["attempt"], strict=True)):
-            if kind in ("MessageLeased", "AckDeadlineModified"):
-                deadline, gone = int(at), False
-            elif kind == "AckDeadlineExpired":
+            if kind == "MessageDelivered":
+                there, deadline, attempts = True, None, 0
+            elif kind in TERMINAL:
+                there = False
+            elif there and kind == "AckDeadlineExpired":
                 deadline, attempts = None, int(attempt)
-            elif kind == "MessageDelivered":
-                deadline, attempts, gone = None, 0, False
-            else:
-                gone = True
-        if gone:
-            if state.exists:
-                state.remove()
-        else:
+            elif there:
+                deadline = int(at)
+        if there:
             state.update((deadline, attempts))
             if deadline is not None:
                 state.setTimeoutTimestamp(max(deadline // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
 
     timed = journal.withWatermark("written", lateness)
     return _by_ack(timed).groupBy("subscription_id", "ack_id").applyInPandasWithState(step, OUT, "deadline long, attempts int", "append", GroupStateTimeout.EventTimeTimeout)
@@ -59,7 +61,6 @@ def _by_ack(timed: DataFrame) -> DataFrame:
     """``by_ack`` that keeps the event time."""
     from ..functions.ids import parsed
     from ..operators.subscriptions import LEASE_EVENTS
-    from ..schemas import TERMINAL
 
     j = timed.where(F.col("type").isin("MessageDelivered", *LEASE_EVENTS, *TERMINAL))
     rows = j.select(parsed("Subscription", F.col("persistence_id")).alias("subscription_id"), F.explode(F.coalesce("ack_ids", F.array("ack_id"))).alias("ack_id"), "ordering", "type", F.coalesce(micros(F.col("deadline")), F.lit(0)).alias("due"), F.coalesce("attempt", F.lit(0)).alias("attempt"), "written")

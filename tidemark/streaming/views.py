@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.ids import parsed
 from ..operators.subscriptions import by_ack
+from ..schemas import TERMINAL
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:
@@ -75,6 +76,44 @@ def leases_step(view: DataFrame, events: DataFrame) -> DataFrame:
     from ..operators.readmodels import upsert
 
     e = by_ack(events.where(F.col("type") != "MessageDelivered"))
-    last = e.groupBy("subscription_id", "ack_id").agg(F.max_by(F.struct("type", "deadline"), "ordering").alias("x"))
-    changes = last.select("subscription_id", "ack_id", "x.deadline", (~F.col("x.type").isin("MessageLeased", "AckDeadlineModified")).alias("removed"))
+    sets = F.when(F.col("type").isin("MessageLeased", "AckDeadlineModified"), F.col("ordering"))
+    last = e.groupBy("subscription_id", "ack_id").agg(F.max("ordering").alias("last"), F.max(sets).alias("set"), F.max_by("deadline", sets).alias("deadline"))
+    changes = last.select("subscription_id", "ack_id", "deadline", (F.col("set").isNull() | (F.col("set") < F.col("last"))).alias("removed"))
     return upsert(view, changes, ["subscription_id", "ack_id"], "removed")
+
+
+EXPIRING = "subscription_id string, ack_id string, expire_time timestamp_ntz"
+
+
+def expiring_step(view: DataFrame, events: DataFrame) -> DataFrame:
+    """Deliveries with an expiry come in, removals take out; the last of a batch counts."""
+    from ..operators.readmodels import expiring, upsert
+
+    keys = ["subscription_id", "ack_id"]
+    mine = events.where(F.col("type").isin(TERMINAL) | (F.col("type") == "MessageDelivered") & F.col("message.expire_time").isNotNull())
+    touched = by_ack(mine).select(*keys).distinct()
+    changes = touched.join(expiring(mine), keys, "left").withColumn("removed", F.col("expire_time").isNull())
+    return upsert(view, changes, keys, "removed")
+
+
+BACKLOG = "subscription_id string, ack_id string, delivered_at timestamp_ntz"
+
+
+def backlog_step(view: DataFrame, events: DataFrame) -> DataFrame:
+    """Removals take rows out; a delivery comes in unless its message waits already."""
+    from ..operators.readmodels import backlog
+
+    keys = ["subscription_id", "ack_id"]
+    gone = by_ack(events.where(F.col("type").isin(TERMINAL))).select(*keys).distinct()
+    left = view.join(gone, keys, "left_anti")
+    return left.unionByName(backlog(events).join(left.select(*keys), keys, "left_anti"))
+
+
+SUBSCRIPTIONS = "topic_id string, subscription_id string"
+
+
+def subscriptions_step(view: DataFrame, events: DataFrame) -> DataFrame:
+    """The index of subscriptions by topic."""
+    from ..operators.delivery import subscription_index
+
+    return view.unionByName(subscription_index(events)).distinct()
