@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import byte_strings, filesystem, shared_folder, written
+from .common import byte_strings, filesystem, lean, shared_folder, written
 
 K1, B = 1.2, 0.75
 BLOCK = 64
@@ -116,7 +116,7 @@ def build(docs: DataFrame, folder: str, id_col: str, text_col: str) -> DataFrame
 
     names = ["shard", "term", "df", "docs", "length"]
     picked = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return written(picked.mapInArrow(run, "shard string, term long, df long, docs long, length long"))
+    return written(picked.mapInArrow(lean(run), "shard string, term long, df long, docs long, length long"))
 
 
 def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,7 +132,7 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ts, pa.int64())], names=["query", "term"])
 
     picked = queries.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "query long, term long")
+    return picked.mapInArrow(lean(run), "query long, term long")
 
 
 class Shard:
@@ -235,7 +235,7 @@ def _searched(spark, shards: list[str], average: float, folder: str, tasks: list
                     yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(ds, pa.int64()), pa.array(ss, pa.float64())], names=["query", "id", "score"])
 
     rows = spark.createDataFrame([(i, shards[n], names) for i, (n, names) in enumerate(tasks)], "task int, path string, names array<string>")
-    return rows.repartitionById(max(1, len(tasks)), "task").mapInArrow(run, "query long, id long, score double")
+    return rows.repartitionById(max(1, len(tasks)), "task").mapInArrow(lean(run), "query long, id long, score double")
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

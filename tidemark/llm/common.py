@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -161,6 +163,24 @@ class Memo:
             self.young[k] = v
 
 
+def lean(run):
+    """A function of Arrow batches whose worker gives freed memory back to the system at the end of the task.
+
+    Workers outlive their tasks, and what they keep is missing to the tasks of other stages on the same executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError, OSError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def in_groups(texts: list, limit: int = 1 << 20) -> Iterator[range]:
     """Ranges of consecutive texts of at most ``limit`` characters together, or of one longer text."""
     start = size = 0

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import byte_strings, dropped, filesystem, fresh, salted, shared_folder, written
+from .common import byte_strings, dropped, filesystem, fresh, lean, salted, shared_folder, written
 from .packing import stored_type
 from .sstable import Shard, ShardWriter, key_of
 
@@ -140,7 +140,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())], names=["id", "n", "f1", "f2", "registers"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, registers binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, n long, f1 long, f2 long, registers binary")
 
 
 def bucket_of(column: str, files: int) -> Column:
@@ -219,7 +219,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, files: int) -> tuple[DataFr
             fs.move(own, f"{root}/{bucket}")
 
     texts = docs.repartition(files, "id").join(wanted, "id").withColumn("bucket", bucket_of("id", files)).sortWithinPartitions("id", "text")
-    texts.select("id", "bucket", "text").mapInArrow(run, f"id {kind}, n long, hashes binary").write.bucketBy(files, "id").sortBy("id").option("path", f"{folder}/table").saveAsTable(name)
+    texts.select("id", "bucket", "text").mapInArrow(lean(run), f"id {kind}, n long, hashes binary").write.bucketBy(files, "id").sortBy("id").option("path", f"{folder}/table").saveAsTable(name)
     sets = spark.table(name)
     sets._folder, sets._name = folder, name
     return sets, SetFiles(f"{folder}/shards", files)
@@ -275,7 +275,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         else:
             both = both.join(sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")), c)
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * 75
-    out = written(both.where(near).select("a", "b", "h_a", "h_b").mapInArrow(run, f"a {kind}, b {kind}").distinct())
+    out = written(both.where(near).select("a", "b", "h_a", "h_b").mapInArrow(lean(run), f"a {kind}, b {kind}").distinct())
     dropped(*[t for t in hot.values() if t is not None])
     return out
 
@@ -409,7 +409,7 @@ def across(members: DataFrame, labels: DataFrame, classes: DataFrame, files: Set
             pairs_of(held, out)
         yield batch_of()
 
-    return blocks.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return blocks.mapInArrow(lean(run), f"a {kind}, b {kind}").distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

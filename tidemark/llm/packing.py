@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import strings, written
+from .common import lean, strings, written
 from .vocabularies import encoder
 
 
@@ -38,7 +38,7 @@ def encoded(df: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part), pa.int32()), batch.column("_id"), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["part", "id", "start", "n_tokens", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"part int, id {kind}, start long, n_tokens long, ids binary")
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(lean(run), f"part int, id {kind}, start long, n_tokens long, ids binary")
 
 
 def pack(df: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -71,7 +71,7 @@ def pack(df: DataFrame, vocabulary: str, end_id: int, window: int = 2048, id_col
 
     types = [stored_type(stored, "id"), *[pa.int64()] * 6, *([pa.binary()] if with_ids else [])]
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    return stored.mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return stored.mapInArrow(lean(run), f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
 
 
 def stored_type(df: DataFrame, name: str) -> pa.DataType:

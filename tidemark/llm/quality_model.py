@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import byte_strings
+from .common import byte_strings, lean
 
 FEATURES = ("log_bytes", "log_words", "word_bytes", "upper", "digits", "marks", "exclaims", "symbols", "bars", "high_bytes", "spaces", "log_lines", "words_per_line", "repeated_lines", "distinct_words", "commonest_length", "shouted_words", "lone_words", "ends_in_stop", "deflated", "sentences", "control", "longest_word")
 
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = feature_rows(byte_strings(batch, "_text"))
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["_key", "_label", "_x"])
 
-    made = rows.mapInArrow(run, f"_key {mean.schema['_key'].dataType.simpleString()}, _label double, _x array<double>").orderBy(*order, "_x").limit(max_rows).collect()
+    made = rows.mapInArrow(lean(run), f"_key {mean.schema['_key'].dataType.simpleString()}, _label double, _x array<double>").orderBy(*order, "_x").limit(max_rows).collect()
     x = np.array([r["_x"] for r in made], np.float64).reshape(len(made), len(FEATURES))
     return fit(x, np.array([float(r["_label"] >= 0.5) for r in made]))
 
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, trees: Trees, text_col: str = "text", columns: list[
             yield pa.RecordBatch.from_arrays([*(batch.column(f"_{i}") for i in range(len(columns))), pa.array(shared.value.scores(x))], names=[*(f"_{i}" for i in range(len(columns))), "_score"])
 
     schema = T.StructType([*(T.StructField(f"_{i}", docs.schema[c].dataType) for i, c in enumerate(columns)), T.StructField("_score", T.DoubleType())])
-    return picked.mapInArrow(run, schema).toDF(*columns, score_col)
+    return picked.mapInArrow(lean(run), schema).toDF(*columns, score_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

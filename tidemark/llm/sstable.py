@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import filesystem, shared_folder, strings
+from .common import filesystem, lean, shared_folder, strings
 from .packing import stored_type
 from .vocabularies import encoder
 
@@ -238,7 +238,7 @@ class Shards:
         schema = f"`{name}` {from_arrow_type(kind).simpleString()}, start long, n_tokens long, ids_crc32 long"
         n = len(self.rows)
         files = self.spark.createDataFrame([(k, r["path"], r["start"]) for k, r in enumerate(self.rows)], "place int, path string, start long")
-        return files.repartitionById(max(n, 1), "place").mapInArrow(run, schema)
+        return files.repartitionById(max(n, 1), "place").mapInArrow(lean(run), schema)
 
 
 def shard_count(df: DataFrame, text_col: str) -> int:
@@ -279,5 +279,5 @@ def write_shards(df: DataFrame, vocabulary: str, end_id: int, folder: str | None
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     hashed = F.xxhash64("_text")
     ranged = rows.repartitionByRange(shard_count(df, text_col), F.col("_id").asc_nulls_first(), hashed).sortWithinPartitions(F.col("_id").asc_nulls_first(), hashed)
-    made = ranged.mapInArrow(run, "part long, path string, tokens long, low binary, high binary").collect()  # a row for each shard
+    made = ranged.mapInArrow(lean(run), "part long, path string, tokens long, low binary, high binary").collect()  # a row for each shard
     return Shards(spark, [{**r.asDict(), "low": bytes(r["low"]), "high": bytes(r["high"])} for r in made], stored_type(df, id_col), id_col)

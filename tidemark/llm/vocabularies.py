@@ -38,7 +38,7 @@ def byte_names() -> list[tuple[str, str]]:
 class WordEncoder:
     """ids of whole texts as little-endian bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, memo_limit: int = 80 << 20):
+    def __init__(self, path: str, memo_limit: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -167,7 +167,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        for part in in_groups(texts, 1 << 23):
+        for part in in_groups(texts, 1 << 22):
             plain = []
             for i in part:
                 if self._whole(texts[i]):

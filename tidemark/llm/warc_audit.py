@@ -21,7 +21,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import byte_strings, filesystem, shared_folder, written
+from .common import byte_strings, filesystem, lean, shared_folder, written
 from .packing import stored_type
 
 FANOUT = 16
@@ -77,7 +77,7 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     names = ["file", "number", "offset", "length", "id", "n_bytes", "payload_sha256"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.string()]
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(body_col).alias("body"))
-    return written(rows.mapInArrow(run, f"file string, number long, offset long, length long, id {kind}, n_bytes long, payload_sha256 string"))
+    return written(rows.mapInArrow(lean(run), f"file string, number long, offset long, length long, id {kind}, n_bytes long, payload_sha256 string"))
 
 
 def copy_files(index: DataFrame, source: str, target: str, damage: DataFrame | None = None) -> None:
@@ -121,7 +121,7 @@ def copy_files(index: DataFrame, source: str, target: str, damage: DataFrame | N
             n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["copied"])
 
-    spots.mapInArrow(run, "copied long").agg(F.sum("copied")).collect()
+    spots.mapInArrow(lean(run), "copied long").agg(F.sum("copied")).collect()
 
 
 def leaf(offset: int, stored: bytes) -> bytes:
@@ -219,7 +219,7 @@ def trees(index: DataFrame, folder: str) -> DataFrame:
 
     names = ["file", "level", "node", "start", "end", "hash"]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return written(ordered.mapInArrow(run, "file string, level int, node long, start long, end long, hash binary"))
+    return written(ordered.mapInArrow(lean(run), "file string, level int, node long, start long, end long, hash binary"))
 
 
 def roots(tree: DataFrame) -> DataFrame:
