@@ -3,10 +3,11 @@
 import itertools
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
 
 from tidemark.llm import line_rules, quality_model, url_rules
 
@@ -265,6 +266,55 @@ def test_trees_learn_and_walk():
         assert np.isclose(one.margins(row[None])[0], 0.5 + t.value[0, k - (2**t.depth - 1)])
 
 
+def plain_fit(x, y, trees, depth, bins, rate, l2, least):
+    """Boosting by loops over all rows, features and cuts; scores of the rows it learns from."""
+    edges = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(x.shape[1])]
+    margin = np.full(len(y), math.log(y.mean() / (1 - y.mean())))
+    for _ in range(trees):
+        q = 1 / (1 + np.exp(-margin))
+        g, h = q - y, q * (1 - q)
+
+        def grow(rows, level):
+            best = (1e-6, None, None)
+            if level < depth:
+                whole = g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                for f in range(x.shape[1]):
+                    for e in edges[f]:
+                        a, b = rows[x[rows, f] <= e], rows[x[rows, f] > e]
+                        if min(len(a), len(b)) >= least:
+                            gain = g[a].sum() ** 2 / (h[a].sum() + l2) + g[b].sum() ** 2 / (h[b].sum() + l2) - whole
+                            if gain > best[0] + 1e-12:
+                                best = (gain, f, e)
+            if best[1] is None:
+                margin[rows] += -rate * g[rows].sum() / (h[rows].sum() + l2)
+                return
+            grow(rows[x[rows, best[1]] <= best[2]], level + 1)
+            grow(rows[x[rows, best[1]] > best[2]], level + 1)
+
+        grow(np.arange(len(y)), 0)
+    return 1 / (1 + np.exp(-margin))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fit_is_boosting_by_loops(seed):
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.normal(size=300), rng.integers(0, 5, 300), rng.random(300)])
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 2) | (rng.random(300) < 0.1)).astype(float)
+    how = {"trees": 6, "depth": 3, "bins": 16, "rate": 0.3, "l2": 1.0, "least": 10}
+    assert np.allclose(quality_model.fit(x, y, **how).scores(x), plain_fit(x, y, **how), atol=1e-6)
+
+
+def test_scores_of_the_query_are_those_of_its_trees(spark, sf):
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in d.collect()}
+    marks = {r["doc_id"]: r["quality"] for r in lab.collect() if r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    ids = [r["doc_id"] for r in lab.where(lab.doc_id.isin([*marks])).orderBy(F.xxhash64("doc_id")).collect()]  # the order of sums decides between equal cuts
+    trees = quality_model.fit(quality_model.feature_rows([texts[i] for i in ids]), np.array([marks[i] for i in ids]))
+    got = {r["doc_id"]: r for r in quality_model.classify(d, lab).collect()}
+    want = trees.scores(quality_model.feature_rows([texts[i] for i in got]))
+    assert all(abs(r["score"] - w) < 1e-9 and r["predicted"] == int(w >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for (i, r), w in zip(got.items(), want, strict=True))
+
+
 def test_classifier_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     d, lab = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

@@ -9,7 +9,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from tidemark.llm import packing, piece_codec, sstable, token_counts  # noqa: E402
+from tidemark.llm import common, packing, piece_codec, sstable, token_counts  # noqa: E402
 from tidemark.llm.vocabularies import WordEncoder  # noqa: E402
 
 MODEL, WORDS, BYTES = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
@@ -43,6 +43,13 @@ def sentencepiece():
     return s.SentencePieceProcessor(model_file=MODEL)
 
 
+def library(path, texts):
+    """ids of whole texts by the library itself."""
+    from tokenizers import Tokenizer
+
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("path", [WORDS, BYTES])
 def test_words_encode_as_whole_texts(path):
     e, texts = WordEncoder(path, memo_limit=50_000), fuzz(4000)
@@ -82,9 +89,9 @@ def test_token_counts(spark, rows):
 
 def test_piece_digests(spark, rows):
     got = piece_codec.piece_digests(table(spark, rows), MODEL).collect()
-    sp = sentencepiece()
-    want = sorted((i or -1, hashlib.sha256(" ".join(map(str, sp.encode(t or "", add_eos=True))).encode()).hexdigest()) for i, t, *_ in rows)
-    assert sorted((r["doc_id"] or -1, r["ids_sha256"]) for r in got) == [(i if i else -1, h) for i, h in want]
+    sp, sha = sentencepiece(), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = sorted((i or -1, len(ids), sha(" ".join(map(str, ids))), sha(sp.decode(ids))) for i, t, *_ in rows for ids in (sp.encode(t or "", add_eos=True),))
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == want
 
 
 def test_encoded_pieces_decode(spark, rows):
@@ -96,8 +103,7 @@ def test_encoded_pieces_decode(spark, rows):
 def test_packing_covers_every_id_once(spark, rows):
     d = table(spark, rows).repartition(3)
     got = packing.pack(d, WORDS, end_id=1, window=2048, with_ids=True).collect()
-    e = WordEncoder(WORDS)
-    want = sorted((np.frombuffer(e.encode([t or ""])[0], "<u2").tolist() + [1] for _, t, *_ in rows), key=lambda x: (len(x), x))
+    want = sorted((x + [1] for x in library(WORDS, [t or "" for _, t, *_ in rows])), key=lambda x: (len(x), x))
     by_doc = {}
     for r in got:
         ids = np.frombuffer(bytes(r["ids"]), "<u4")
@@ -117,8 +123,7 @@ def test_shards_round_trip(spark, rows):
     d = table(spark, rows).repartition(3)
     shards = sstable.write_shards(d, BYTES, end_id=2)
     got = shards.read().collect()
-    e = WordEncoder(BYTES)
-    ids = [(i, np.append(np.frombuffer(e.encode([t or ""])[0], "<u2"), 2).astype("<u4")) for i, t, *_ in rows]
+    ids = [(i, np.array([*x, 2], "<u4")) for (i, *_), x in zip(rows, library(BYTES, [t or "" for _, t, *_ in rows]), strict=True)]
     assert sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_crc32"]) for r in got) == sorted((i or -1, len(x), zlib.crc32(x.tobytes())) for i, x in ids)
     at = 0
     for r in sorted(got, key=lambda r: (r["start"])):
@@ -132,6 +137,45 @@ def test_shards_round_trip(spark, rows):
     assert len(shards.lookup(None)) == 1 and shards.lookup(77_777_777) == []
 
 
+def test_memos_stay_within_their_bytes_and_hold_no_long_keys(monkeypatch):
+    made = []
+    m = common.Memo(lambda keys: made.extend(keys) or [k.encode() for k in keys], limit=5_000)
+    rng = random.Random(2)
+    for _ in range(300):
+        group = [str(rng.randrange(400)) for _ in range(rng.randrange(60))] + ["x" * 300]
+        assert m.rows([group, group[:3]]) == [[k.encode() for k in group], [k.encode() for k in group[:3]]]
+        assert len(m.young) * m.ENTRY <= 5_000 and len(m.old) * m.ENTRY <= 5_000 and "x" * 300 not in m.young
+    e = WordEncoder(BYTES, memo_limit=20_000)
+    texts = [*fuzz(300, seed=9), "y" * 50_000, " ".join("z" * 400 for _ in range(30))]
+    assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(texts)] == library(BYTES, texts)
+
+
+def test_batches_are_of_bounded_bytes(monkeypatch):
+    seen = []
+
+    class Counting:
+        def encode(self, pieces, **_):
+            seen.append(sum(len(p.encode()) for p in pieces))
+            return sp.encode(pieces)
+
+    sp = sentencepiece()
+    monkeypatch.setattr(token_counts, "BATCH_BYTES", 5_000)
+    monkeypatch.setattr(token_counts, "SPLIT_BYTES", 1_000)
+    monkeypatch.setattr(token_counts, "piece_processor", lambda path: Counting())
+    token_counts._SAFE["fake"] = True
+    texts = ["日本語 テキスト " * 400, "plain words " * 900, "", "é" * 3_000, *fuzz(200, seed=4)]
+    assert token_counts._piece_counts("fake", texts) == [len(sp.encode(t)) for t in texts]
+    assert max(seen) < 9_100 and sum(n > 5_000 for n in seen) <= 1 and len(seen) > 5  # the text without spaces stays whole
+
+
+def test_shards_by_bytes(spark, monkeypatch):
+    d = table(spark, [(i, "some words " * 40, "a", "b") for i in range(300)])
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(sstable, "LEAST_BYTES", 15_000)
+    assert sstable.shard_count(d, "text") == 7 and len(sstable.write_shards(d, BYTES, 2).rows) == 7
+    assert sstable.shard_count(table(spark, []), "text") == 1
+
+
 def test_shard_lookup_in_many_blocks(tmp_path):
     w = sstable.ShardWriter(out := open(tmp_path / "x", "wb"), 2)
     for i in range(3000):
