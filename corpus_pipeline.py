@@ -42,7 +42,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir))
+        folder, before = common.shared_folder(spark), docs
+        with common.scratch(spark):  # a stage's own tables go once its result is written
+            docs = common.written(stage(spark, docs, sf_dir), folder)
+        common.dropped(before)
     return docs
 
 
