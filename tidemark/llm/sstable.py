@@ -35,6 +35,8 @@ MAGIC = b"TMSSTBL1"
 FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
+#: Of the words that a worker remembers, per generation: ranging by key mixes languages, so there are more than elsewhere.
+MEMO_BYTES = 128 << 20
 #: Bytes of text of a shard, at most in the mean and at least where there are partitions enough.
 SHARD_BYTES, LEAST_BYTES = 256 << 20, 1 << 20
 
@@ -261,7 +263,7 @@ def write_shards(df: DataFrame, vocabulary: str, end_id: int, folder: str | None
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         own, path = f"{root}/_{part:06d}-{context.taskAttemptId()}", f"{root}/shard-{part:06d}.sst"
-        e = encoder(vocabulary)
+        e = encoder(vocabulary, MEMO_BYTES)
         end = np.array([end_id], f"<u{e.width}").tobytes()
         low = None
         with fs.open_output_stream(own, compression=None) as out:

@@ -38,7 +38,7 @@ def byte_names() -> list[tuple[str, str]]:
 class WordEncoder:
     """ids of whole texts as little-endian bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, memo_limit: int = 64 << 20):
+    def __init__(self, path: str, memo_limit: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -167,7 +167,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        for part in in_groups(texts, 1 << 22):
+        for part in in_groups(texts, 1 << 23):
             plain = []
             for i in part:
                 if self._whole(texts[i]):
@@ -180,10 +180,10 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str) -> WordEncoder:
-    """This worker's encoder of a vocabulary file; it outlives the task, and its memo with it."""
+def encoder(path: str, memo_limit: int = 96 << 20) -> WordEncoder:
+    """This worker's encoder of a vocabulary file; it outlives the task, and its memo of twice these bytes with it."""
     if path not in _CACHE:
-        _CACHE[path] = WordEncoder(path)
+        _CACHE[path] = WordEncoder(path, memo_limit)
     return _CACHE[path]
 
 
