@@ -138,3 +138,28 @@ def test_consuming_as_a_stream(spark, tmp_path):
     except LookupError as e:
         assert "NOT_FOUND" in str(e)
     assert consume.ticks(spark).isStreaming
+
+
+def test_a_broker_that_keeps_itself(spark, tmp_path):
+    """One query delivers, sweeps, republishes and takes snapshots; a poller leases by the real clock."""
+    b = Broker(spark, str(tmp_path / "journal"), BrokerConfig(max_delivery_attempts=1, dead_letter_topic="dlq", snapshot_every=1, poll_interval_ms=500))
+    b.topic_command(spark.createDataFrame([("t", "Create", {}, 0), ("dlq", "Create", {}, 1)], "topic_id string, kind string, labels map<string,string>, position long"))
+    b.create_subscription(spark.createDataFrame([("s", "t", 0), ("dead", "dlq", 1)], "subscription_id string, topic_id string, position long"))
+    b.publish(spark.createDataFrame([("t", "m-1", b"x", 0)], "topic_id string, message_id string, payload binary, position long"), "2026-07-07 00:00:00")
+
+    def tick(hour):
+        spark.createDataFrame([(datetime(2026, 7, 7, hour),)], "now timestamp_ntz").write.mode("append").parquet(str(tmp_path / "ticks"))
+        consume.background(b, str(tmp_path / "keep"), spark.readStream.schema("now timestamp_ntz").parquet(str(tmp_path / "ticks"))).awaitTermination()
+
+    tick(1)
+    assert [r["ack_id"] for r in b.state().collect()] == ["s:m-1"] and store.snapshots(spark, f"{b.path}/_snapshots")
+    b.pull(spark.createDataFrame([("s", 0)], "subscription_id string, position long"), "2026-07-07 01:00:00")
+    tick(2)
+    assert [r["ack_id"] for r in b.state().collect()] == ["dead:dead-letter:s:m-1"]
+    q = consume.polling(b, "dead", str(tmp_path / "out"), str(tmp_path / "poll"), consumer_id="c")
+    for _ in range(60):
+        q.awaitTermination(1)
+        if b.state().where("lease_state = 'Leased'").count():
+            break
+    q.stop()
+    assert [r["ack_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["dead:dead-letter:s:m-1"]

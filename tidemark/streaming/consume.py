@@ -103,3 +103,26 @@ def leased(broker: Broker, subscription_id: str, out: str, limit: int | None = N
         broker.pull(one, now, batch=name, sink=shown)
 
     return act
+
+
+def kept(broker: Broker, name: str = "keep") -> Callable[[DataFrame, int], None]:
+    """For a stream of times (now): all that a broker does by itself, in one writer. Ends leases and lives, republishes dead letters, delivers, and takes snapshots when they are due."""
+
+    def act(rows: DataFrame, number: int) -> None:
+        if _latest(rows) is not None:
+            swept(broker, f"{name}-sweep")(rows, number)
+            broker.republish_dead_letters(batch=f"{name}-letters-{number}")
+            broker.deliver(batch=f"{name}-deliver-{number}")
+            broker.snapshot()
+
+    return act
+
+
+def background(broker: Broker, checkpoint: str, clock: DataFrame | None = None) -> StreamingQuery:
+    """``kept`` every ``sweep_interval_ms``, or once over a clock that is given."""
+    return driven(ticks(broker.spark) if clock is None else clock, kept(broker), checkpoint, broker.config.sweep_interval_ms if clock is None else None)
+
+
+def polling(broker: Broker, subscription_id: str, out: str, checkpoint: str, **consumer: str) -> StreamingQuery:
+    """``leased`` every ``poll_interval_ms``: an idle subscription is looked at again at that interval."""
+    return driven(ticks(broker.spark), leased(broker, subscription_id, out, **consumer), checkpoint, broker.config.poll_interval_ms)
