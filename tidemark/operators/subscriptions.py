@@ -139,11 +139,11 @@ def modify_deadline(requests: DataFrame, state: DataFrame, now) -> DataFrame:
 
 
 def expire_deadlines(candidates: DataFrame, state: DataFrame, now, max_attempts: int = 5) -> DataFrame:
-    """Events of the candidates (subscription_id, ack_id) whose lease is over by the authoritative state; others are left alone."""
+    """Events of the candidates (subscription_id, ack_id) whose lease is over by the authoritative state; others are left alone. A slim state gives events without messages."""
     due = state.join(candidates.select("subscription_id", "ack_id").distinct(), ["subscription_id", "ack_id"], "left_semi").where((F.col("lease_state") == "Leased") & (F.col("deadline") <= instant(now)))
     attempt = F.col("attempts") + 1
     dead = F.lit(max_attempts > 0) & (attempt >= max_attempts)
-    return due.select("subscription_id", "ack_id", F.when(dead, "MessageDeadLettered").otherwise("AckDeadlineExpired").alias("event"), attempt.alias("attempt"), F.when(dead, F.col("message")).alias("message"))
+    return due.select("subscription_id", "ack_id", F.when(dead, "MessageDeadLettered").otherwise("AckDeadlineExpired").alias("event"), attempt.alias("attempt"), *([F.when(dead, F.col("message")).alias("message")] if "message" in state.columns else []))
 
 
 def expire_messages(candidates: DataFrame, state: DataFrame, now) -> DataFrame:

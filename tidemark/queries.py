@@ -121,7 +121,7 @@ def modify_deadline(spark, sf):
 
 def redelivery_sweep(spark, sf):
     j = journal(spark, sf)
-    swept = subscriptions.expire_deadlines(readmodels.overdue(readmodels.leases(j), NOW), subscriptions.outstanding(j), NOW, max_attempts=5)
+    swept = subscriptions.expire_deadlines(readmodels.overdue(readmodels.leases(j), NOW), subscriptions.slim(j), NOW, max_attempts=5)
     return swept.select("subscription_id", "ack_id", "event", "attempt")
 
 
