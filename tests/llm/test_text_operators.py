@@ -67,11 +67,36 @@ def test_piece_codec_is_the_library():
         assert [*c.encode(t), 2] == ids
 
 
+def test_pieces_side_by_side_are_those_that_merging_leaves():
+    c, rng = piece_codec.PieceCodec(MODEL, pair_limit=500), random.Random(5)
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            found = [(-c.scores[x + y], k) for k, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in c.scores]
+            if not found:
+                return parts
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    ids = sorted(c.ids.values())
+    near = [i for i in ids if c.pieces[i].isalpha() and len(c.pieces[i]) <= 3][:300]
+    seen = set()
+    for _ in range(4000):
+        x, y = (rng.choice(near), rng.choice(near)) if rng.random() < 0.7 else (rng.choice(ids), rng.choice(ids))
+        want = merged(c.pieces[x] + c.pieces[y]) == [c.pieces[x], c.pieces[y]]
+        assert c.fits(x << 20 | y) == want, (c.pieces[x], c.pieces[y])
+        seen.add(want)
+    assert seen == {True, False} and len(c.pairs) <= 500
+
+
 def test_decoding_any_ids_is_the_library():
     c, sp, rng = piece_codec.PieceCodec(MODEL), sentencepiece(), random.Random(3)
     for _ in range(2000):
         ids = [rng.randrange(400) if rng.random() < 0.5 else rng.randrange(32_000) for _ in range(rng.randint(0, 12))]
         assert c.decode(ids) == sp.decode(ids)
+    for ids in ([], [2], [35], [35, 2], [259], [259, 259], [0], [1, 259], [3 + 32, 259]):  # ids of the space's byte, of marks and of special pieces come first
+        assert c.decode(ids) == sp.decode(ids)
 
 
 def test_split_texts_count_as_whole_ones():

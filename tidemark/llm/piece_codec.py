@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Memo, in_groups, lean, strings
 
 MARK = "▁"
+NEVER = float("-inf")
 _CACHE: dict = {}
 
 
@@ -45,12 +48,19 @@ class PieceCodec:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        self.surface = {i: p.replace(MARK, " ") for p, i in self.ids.items()}
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.special = {i for i, p in enumerate(model.pieces) if p.type == kinds.CONTROL}
         self.unknown = {i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN}
         self.unk_surface = t.unk_surface
+        # None: what a single id doesn't tell, that is unknown ids, bytes of longer characters, and the space's byte, which stays at a text's start
+        self.surface: list[str | None] = [p.replace(MARK, " ") for p in self.pieces]
+        for i in range(len(self.pieces)):
+            b = self.byte_of.get(i)
+            if i in self.special:
+                self.surface[i] = ""
+            elif i in self.unknown or b is not None:
+                self.surface[i] = chr(b) if b is not None and b < 128 and b != 32 else None
         self.end_id = next(i for i, p in enumerate(model.pieces) if p.piece == t.eos_piece)
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
@@ -66,38 +76,67 @@ class PieceCodec:
         if {c for p in self.ids for c in p} - self.known:
             raise ValueError("a piece holds a character that is no piece")
         self.pairs: dict[int, bool] = {}
-        self.own: dict[int, bool] = {}
+        self.paths: dict[int, tuple | None] = {}  # at most one entry for each piece of the vocabulary
         self.pair_limit = pair_limit
-        self.memo = Memo(self._fill, memo_limit, lambda v: len(v[0]) + len(v[2]) + 200)
+        self.memo = Memo(self._fill, memo_limit, lambda v: 8 * len(v))
 
-    def merged(self, text: str) -> list[str]:
-        """The merge process itself, on a short text: the best-scored neighbours first, the leftmost of equals."""
+    def merges(self, text: str):
+        """The merge process itself, on a short text, the best-scored neighbours first, the leftmost of equals: (score of the next merge, parts before it); at the end, minus infinity and what is left."""
         parts, scores = list(text), self.scores
-        while len(parts) > 1:
-            best, at = None, -1
+        while True:
+            best, at = NEVER, -1
             for k in range(len(parts) - 1):
                 s = scores.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best):
+                if s is not None and s > best:
                     best, at = s, k
+            yield best, parts
             if at < 0:
-                break
+                return
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+
+    def path(self, token: int) -> tuple | None:
+        """How a piece comes of its own text: (scores of the merges, first parts, last parts) step by step; None if it doesn't."""
+        got = self.paths.get(token, self)
+        if got is self:
+            steps = [(s, parts[0], parts[-1]) for s, parts in self.merges(self.pieces[token])]
+            got = self.paths[token] = tuple(zip(*steps, strict=True)) if steps[-1][1] == self.pieces[token] else None
+        return got
 
     def fits(self, key: int) -> bool:
-        """Whether two pieces (key: the ids, the first shifted by 20 bits) stay two when their joined text is merged."""
+        """Whether two pieces (key: the ids, the first shifted by 20 bits) stay two when their joined text is merged.
+
+        The merges of either side are known, so the process on the joined text is the two interleaved by score, unless at
+        some step the parts that touch make a piece with a better score than what comes next on both sides.
+        """
         if len(self.pairs) >= self.pair_limit:
             self.pairs.clear()
-        x, y = self.pieces[key >> 20], self.pieces[key & 0xFFFFF]
-        known = self.pairs[key] = x[-1] + y[0] not in self.side_by_side or self.stable(key >> 20) and self.stable(key & 0xFFFFF) and self.merged(x + y) == [x, y]
+        self.pairs[key] = known = self._stay_two(key >> 20, key & 0xFFFFF)
         return known
 
+    def _stay_two(self, x: int, y: int) -> bool:
+        left, right = self.path(x), self.path(y)
+        if left is None or right is None:
+            return False
+        if self.pieces[x][-1] + self.pieces[y][0] not in self.side_by_side:
+            return True
+        scores = self.scores
+        before, _, lasts = left
+        after, firsts, _ = right
+        i = j = 0
+        while True:
+            s = scores.get(lasts[i] + firsts[j])
+            if s is not None and s > before[i] and s >= after[j]:
+                return False
+            if before[i] < after[j]:
+                j += 1
+            elif before[i] == NEVER:
+                return True
+            else:
+                i += 1
+
     def stable(self, token: int) -> bool:
         """Whether merging a piece's own text gives the piece."""
-        got = self.own.get(token)
-        if got is None:
-            got = self.own[token] = self.merged(self.pieces[token]) == [self.pieces[token]]
-        return got
+        return self.path(token) is not None
 
     def encode_unit(self, text: str) -> list[int]:
         """ids of a text that holds the mark in place of spaces; -1 - code point for a character that no piece holds."""
@@ -134,6 +173,13 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids as the library's decode() gives it: control ids have none, bytes that aren't UTF-8 are replaced."""
+        try:
+            text = "".join(map(self.surface.__getitem__, ids))
+        except TypeError:  # bytes that have to be read together, or unknown ids
+            return self._decode_bytes(ids)
+        return text[1:] if text[:1] == " " else text
+
+    def _decode_bytes(self, ids: list[int]) -> str:
         out: list[str] = []
         run = bytearray()
         first = True
@@ -152,47 +198,41 @@ class PieceCodec:
             first = False
         return "".join(out)
 
-    def _fill(self, units: list[str]) -> list[tuple[str, int, str]]:
-        """(decimal ids, how many, decoded text) of units; a closing mark that no piece joins to the letter before it is cut off."""
-        young, surface, decimal = self.memo.young, self.surface, self.decimal
+    def _fill(self, units: list[str]) -> list[tuple[int, ...]]:
+        """ids of units; a closing mark that no piece joins to the letter before it is cut off."""
+        young = self.memo.young
         out = []
         own: dict = {}
 
         def one(u: str):
             got = young.get(u) or own.get(u)
             if got is None:
-                ids = self.encode_unit(u)
-                if min(ids) >= 0:
-                    text = "".join([surface[i] for i in ids])
-                else:  # decode() takes the first space of a text away; within a text it belongs to the unit
-                    ids = self.with_bytes(ids)
-                    text = (" " if u[0] == MARK else "") + self.decode([self.end_id, *ids])
-                got = own[u] = (" ".join([decimal[i] for i in ids]), len(ids), text)
+                got = own[u] = tuple(self.with_bytes(self.encode_unit(u)))
             return got
 
         for u in units:
             if len(u) > 2 and u[-1] in ".,;:!?" and u[-2:] not in self.side_by_side:
-                a, b = one(u[:-1]), one(u[-1])
-                out.append((f"{a[0]} {b[0]}", a[1] + b[1], a[2] + b[2]))
+                out.append(one(u[:-1]) + one(u[-1]))
             else:
                 out.append(one(u))
         return out
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(ids with the end id, their sha256, the decoded text's sha256) of whole texts."""
-        out = []
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_all([text]))[:-1]
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of whole texts, each with the end id."""
         for part in in_groups(texts, 1 << 22):
             cut = [self.units.findall(MARK + texts[i].replace(" ", MARK)) if texts[i] else [] for i in part]
             for got in self.memo.rows(cut):
-                ids = " ".join([*[g[0] for g in got], str(self.end_id)])
-                text = "".join([g[2] for g in got])
-                text = text[1:] if text[:1] == " " else text
-                out.append((sum([g[1] for g in got]) + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-        return out
+                ids = list(chain.from_iterable(got))
+                ids.append(self.end_id)
+                yield ids
 
-    def encode(self, text: str) -> list[int]:
-        units = self.units.findall(MARK + text.replace(" ", MARK)) if text else []
-        return [int(i) for got in self.memo.rows([units]) for g in got for i in g[0].split()]
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """(ids with the end id, their sha256, the sha256 of the text decoded from them) of whole texts."""
+        written = self.decimal.__getitem__
+        return [(len(ids), hashlib.sha256(" ".join(map(written, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids).encode()).hexdigest()) for ids in self.encode_all(texts)]
 
 
 def utf8(raw: bytes) -> str:
@@ -227,7 +267,7 @@ def encode_pieces(df: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         c = codec(model)
         for batch in batches:
-            ids = [[*c.encode(t), c.end_id] for t in strings(batch, "_text")]
+            ids = list(c.encode_all(strings(batch, "_text")))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(x) for x in ids], pa.string())], names=[id_col, "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
