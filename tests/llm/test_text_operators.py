@@ -201,6 +201,23 @@ def test_shards_by_bytes(spark, monkeypatch):
     assert sstable.shard_count(table(spark, []), "text") == 1
 
 
+def test_a_repeated_row_fills_several_shards(spark, monkeypatch):
+    rows = [(i, f"words of {i} " * 40, "a", "b") for i in range(100)]
+    hot = [(50, "the same words " * 30, "a", "b")] * 400 + [(None, None, "a", "b")] * 300
+    d = table(spark, rows + hot).repartition(3)
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(sstable, "SAMPLES", 1_000)
+    shards = sstable.write_shards(d, BYTES, end_id=2)
+    five = sstable.key_of(50)
+    assert sum(r["low"] <= five <= r["high"] for r in shards.rows) >= 5
+    want = [(i, len(x) + 1) for (i, *_), x in zip(rows + hot, library(BYTES, [t or "" for _, t, *_ in rows + hot]), strict=True)]
+    got = shards.read().orderBy("start").collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i is not None, i or 0, n) for i, n in want)
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert order == sorted(order) and [r["start"] for r in got] == [sum(r["n_tokens"] for r in got[:k]) for k in range(len(got))]
+    assert len(shards.lookup(50)) == 401 and len(shards.lookup(None)) == 300 and len(shards.lookup(7)) == 1
+
+
 def test_shard_lookup_in_many_blocks(tmp_path):
     w = sstable.ShardWriter(out := open(tmp_path / "x", "wb"), 2)
     for i in range(3000):

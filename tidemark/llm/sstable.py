@@ -9,7 +9,9 @@ finds the block by binary search in the index, and reads that block alone.
     bloom   bits; bit k of a key: (h1 + k * h2) mod size, h1 and h2 the halves of its xxh3-128
     footer  index offset, index length, bloom offset, bloom length, documents, tokens (8 each), id width, hashes (4 each), magic (8)
 
-Documents are ranged by key over the shards, so shard files in the order of their numbers hold all keys in order. A task
+Documents are encoded where they lie, and their ids ranged by key over the shards, so shard files in the order of their
+numbers hold all keys in order. The ranges' borders come from a sample of keys, weighed by the bytes of their texts; the
+sample only decides how even the shards are. Rows that repeat more often than a shard holds are dealt over several. A task
 writes under a name of its own and then renames; a repeated task writes the same bytes.
 
 Defined results: a null text is empty, and an empty text is its end id alone; a null key sorts first; repeated keys stay,
@@ -21,7 +23,7 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import filesystem, lean, shared_folder, strings
 from .packing import stored_type
-from .vocabularies import encoder
+from .vocabularies import encoder, id_width
 
 MAGIC = b"TMSSTBL1"
 FOOTER = struct.Struct("<6Q2I8s")
 BLOCK_BYTES = 1 << 16
 BITS_PER_KEY, HASHES = 10, 7
-#: Of the words that a worker remembers, per generation: ranging by key mixes languages, so there are more than elsewhere.
-MEMO_BYTES = 128 << 20
 #: Bytes of text of a shard, at most in the mean and at least where there are partitions enough.
 SHARD_BYTES, LEAST_BYTES = 256 << 20, 1 << 20
+#: Keys drawn to find the borders between shards: for each shard, in the mean, and at most in all.
+SAMPLES, ALL_SAMPLES = 100, 1_000_000
 
 
 def key_of(value) -> bytes:
@@ -250,10 +252,46 @@ def shard_count(df: DataFrame, text_col: str) -> int:
     return max(1, -(-size // SHARD_BYTES), min(parallel, -(-size // LEAST_BYTES)))
 
 
+def borders(keys: DataFrame, shards: int) -> list[tuple[bytes, int]]:
+    """The first (key, hash) of every shard but the first, so that shards hold about as many bytes; from (_id, _hash, _size).
+
+    A border that comes several times has shards of its own between its occurrences.
+    """
+    share = min(SAMPLES * shards, ALL_SAMPLES) / max(keys.count(), 1)
+    drawn = sorted((key_of(r["_id"]), r["_hash"], r["_size"]) for r in (keys.sample(share, seed=1) if share < 1 else keys).collect())
+    total, at, out = sum(size for *_, size in drawn), 0, []
+    full = total / shards
+    for key, h, size in drawn:
+        if at >= full:
+            out.append((key, h))
+            full = (at * shards // total + 1) * total / shards
+        at += size
+    return out
+
+
+def shard_of(key: tuple[bytes, int], cuts: list[tuple[bytes, int]], turn: int) -> int:
+    """The shard of a row; rows equal to a repeated border take turns, as their order among themselves is free."""
+    low, high = bisect_left(cuts, key), bisect_right(cuts, key)
+    return high if high - low < 2 else low + turn % (high - low + 1)
+
+
 def write_shards(df: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Shards:
     """Encodes all documents into shard files in ``folder`` (by default a new one in the shared folder)."""
     spark = df.sparkSession
-    folder = folder or shared_folder(spark)
+    folder, width, shards = folder or shared_folder(spark), id_width(vocabulary), shard_count(df, text_col)
+    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
+    cuts = borders(rows.select("_id", "_hash", (F.coalesce(F.octet_length("_text"), F.lit(0)) + 16).alias("_size")), shards)
+
+    def encoded(batches):
+        e = encoder(vocabulary)
+        end = np.array([end_id], f"<u{width}").tobytes()
+        turn = 0
+        for batch in batches:
+            ids = [x + end for x in e.encode(strings(batch, "_text"))]
+            keys = zip(map(key_of, batch.column("_id").to_pylist()), batch.column("_hash").to_pylist(), strict=True)
+            place = [shard_of(k, cuts, turn + i) for i, k in enumerate(keys)]
+            turn += len(place)
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), batch.column("_id"), batch.column("_hash"), pa.array(ids, pa.binary())], names=["_place", "_id", "_hash", "_ids"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -263,23 +301,20 @@ def write_shards(df: DataFrame, vocabulary: str, end_id: int, folder: str | None
         fs, root = filesystem(folder)
         fs.create_dir(root, recursive=True)
         own, path = f"{root}/_{part:06d}-{context.taskAttemptId()}", f"{root}/shard-{part:06d}.sst"
-        e = encoder(vocabulary, MEMO_BYTES)
-        end = np.array([end_id], f"<u{e.width}").tobytes()
         low = None
         with fs.open_output_stream(own, compression=None) as out:
-            w = ShardWriter(out, e.width)
+            w = ShardWriter(out, width)
             for batch in batches:
-                for value, ids in zip(batch.column("_id").to_pylist(), e.encode(strings(batch, "_text")), strict=True):
+                for value, ids in zip(batch.column("_id").to_pylist(), batch.column("_ids").to_pylist(), strict=True):
                     key = key_of(value)
                     low = key if low is None else low
-                    w.add(key, ids + end)
+                    w.add(key, ids)
             w.close()
         fs.move(own, path)
         if low is not None:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, f"{folder}/shard-{part:06d}.sst", w.tokens, low, w.last)], names=["part", "path", "tokens", "low", "high"])
 
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    hashed = F.xxhash64("_text")
-    ranged = rows.repartitionByRange(shard_count(df, text_col), F.col("_id").asc_nulls_first(), hashed).sortWithinPartitions(F.col("_id").asc_nulls_first(), hashed)
+    ids = rows.mapInArrow(lean(encoded), f"_place int, _id {df.schema[id_col].dataType.simpleString()}, _hash long, _ids binary")
+    ranged = ids.repartitionById(shards, "_place").sortWithinPartitions(F.col("_id").asc_nulls_first(), "_hash").select("_id", "_ids")
     made = ranged.mapInArrow(lean(run), "part long, path string, tokens long, low binary, high binary").collect()  # a row for each shard
     return Shards(spark, [{**r.asDict(), "low": bytes(r["low"]), "high": bytes(r["high"])} for r in made], stored_type(df, id_col), id_col)

@@ -35,6 +35,17 @@ def byte_names() -> list[tuple[str, str]]:
     return [(chr(b), chr(256 + k)) for k, b in enumerate(hidden) if b > 127]
 
 
+def _id_code(tokenizer) -> str:
+    return "H" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+
+
+def id_width(path: str) -> int:
+    """Bytes of an id that a ``WordEncoder`` of this vocabulary file writes."""
+    from tokenizers import Tokenizer
+
+    return array(_id_code(Tokenizer.from_file(path))).itemsize
+
+
 class WordEncoder:
     """ids of whole texts as little-endian bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
@@ -56,7 +67,7 @@ class WordEncoder:
         level = next((s for s in steps if s["type"] == "ByteLevel"), None)
         # Only the two layouts whose cuts are proven above are encoded by words.
         self.by_words = level is not None and not level["add_prefix_space"] and (self.drops_spaces and kinds <= {None, "Sequence", "NFC", "Replace", "Lowercase"} or level["use_regex"] and kinds == {None})
-        self.code = "H" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"
+        self.code = _id_code(self.tokenizer)
         self.width = array(self.code).itemsize
         if self.drops_spaces:
             self.latin = re.compile(f"(?:[a-zA-Z]|{_LATIN_BYTES})+".encode("latin-1"))
