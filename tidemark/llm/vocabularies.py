@@ -49,7 +49,7 @@ def id_width(path: str) -> int:
 class WordEncoder:
     """ids of whole texts as little-endian bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, memo_limit: int = 96 << 20):
+    def __init__(self, path: str, memo_limit: int = 96 << 20, group: int = 1 << 23):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -76,7 +76,7 @@ class WordEncoder:
             self.latin = re.compile(f"\n?[{LETTERS}]+")
             self.end_marks, self.ends_in_letter = END_MARKS, re.compile(f"(?s:.*)[{LETTERS}]").fullmatch
         self.units = unit_pattern(SPACES)
-        self.memo = Memo(self._fill, memo_limit)
+        self.memo, self.group = Memo(self._fill, memo_limit), group
         if not self.by_words:
             return
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -167,18 +167,20 @@ class WordEncoder:
             index[first] = np.arange(len(keys), len(keys) + len(heads))
             keys += heads
         values = self.memo.rows([keys])[0]
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.width
+        # a group has less than 2 ** 31 ids, as a text of Arrow's has less than 2 ** 31 bytes
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // self.width
         ids = np.frombuffer(b"".join(values), f"<u{self.width}")
         size = sizes[index]
-        ends = np.append(0, size.cumsum())
-        at = np.repeat((sizes.cumsum() - sizes)[index] - ends[:-1], size)
-        at += np.arange(ends[-1])
+        ends = np.zeros(len(size) + 1, np.int32)
+        size.cumsum(out=ends[1:])
+        at = np.repeat((sizes.cumsum(dtype=np.int32) - sizes)[index] - ends[:-1], size)
+        at += np.arange(ends[-1], dtype=np.int32)
         ids, spots = ids[at], ends[offsets]
         return [ids[i + drop : j].tobytes() for i, j in zip(spots, spots[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        for part in in_groups(texts, 1 << 23):
+        for part in in_groups(texts, self.group):
             plain = []
             for i in part:
                 if self._whole(texts[i]):
@@ -191,10 +193,13 @@ class WordEncoder:
         return out
 
 
-def encoder(path: str, memo_limit: int = 96 << 20) -> WordEncoder:
-    """This worker's encoder of a vocabulary file; it outlives the task, and its memo of twice these bytes with it."""
+def encoder(path: str, memo_limit: int = 96 << 20, group: int = 1 << 23) -> WordEncoder:
+    """This worker's encoder of a vocabulary file; it outlives the task, and its memo of twice these bytes with it.
+
+    At a time it works on ``group`` characters of texts, or on one longer text.
+    """
     if path not in _CACHE:
-        _CACHE[path] = WordEncoder(path, memo_limit)
+        _CACHE[path] = WordEncoder(path, memo_limit, group)
     return _CACHE[path]
 
 
