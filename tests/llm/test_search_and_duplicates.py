@@ -88,6 +88,19 @@ def test_sets_are_looked_up_where_large_groups_meet(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
+def test_more_buckets_of_sets_than_shuffle_partitions(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SET_BYTES", 5_000)
+    rows = corpus(seed=33)
+    want = brute_components(rows)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = near_dup.components(docs(spark, [(i, t, "k", "r") for i, t in [*rows, rows[0], (None, rows[1][1])]])).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == want and len(got) == len(rows) + 2
+
+
 def test_set_files_find_every_set(spark):
     texts = spark.createDataFrame([(i * 7, " ".join(f"{i}w{k}" for k in range(i % 50))) for i in range(3000)], "id long, text string")
     sets, files = near_dup.shingle_sets(texts.unionByName(texts), texts.where("id % 2 = 0").select("id"), 50)

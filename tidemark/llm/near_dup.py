@@ -182,10 +182,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, files: int) -> tuple[DataFr
     """(id, n, hashes: eight bytes for each shingle, ascending) of the ``wanted`` (id) among ``docs`` (id, text).
 
     Texts are shuffled once, by id. The sets are stored as a table in ``files`` buckets by id, which joins by id read
-    without shuffling them again, and each bucket as a shard for lookups beside it.
+    without shuffling them again, and each bucket as a shard for lookups beside it. A task has to hold one bucket, so the
+    wanted ids travel as rows before their texts: a join may be planned with another number of partitions.
     """
     spark = docs.sparkSession
-    folder, name = shared_folder(spark), f"shingle_sets_{uuid.uuid4().hex}"
+    folder, stem = shared_folder(spark), f"shingle_sets_{uuid.uuid4().hex}"
     kind = docs.schema["id"].dataType.simpleString()
     stored = stored_type(docs, "id")
 
@@ -194,16 +195,19 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, files: int) -> tuple[DataFr
 
         fs, root = filesystem(f"{folder}/shards")
         fs.create_dir(root, recursive=True)
-        own, bucket, last = f"{root}/_{TaskContext.get().taskAttemptId()}", None, None
+        own, bucket, last, named = f"{root}/_{TaskContext.get().taskAttemptId()}", None, None, None
         with fs.open_output_stream(own, compression=None) as out:
             w = ShardWriter(out, 8, SetFiles.BLOCK_BYTES)
             for batch in batches:
                 texts = byte_strings(batch, "text")
-                buckets, all_ids = batch.column("bucket").to_pylist(), batch.column("id").to_pylist()
+                buckets, all_ids, names = (batch.column(c).to_pylist() for c in ("bucket", "id", "name"))
                 for k in range(0, len(texts), 256):
                     ids, sets = [], []
-                    for b, i, t in zip(buckets[k : k + 256], all_ids[k : k + 256], texts[k : k + 256], strict=True):
-                        if i == last:
+                    for b, i, t, name in zip(buckets[k : k + 256], all_ids[k : k + 256], texts[k : k + 256], names[k : k + 256], strict=True):
+                        if name:
+                            named = i
+                            continue
+                        if i is None or i != named or i == last:
                             continue  # rows that share an id are one document
                         if bucket not in (None, b):
                             raise ValueError("a task holds ids of several buckets")
@@ -218,10 +222,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, files: int) -> tuple[DataFr
         else:
             fs.move(own, f"{root}/{bucket}")
 
-    texts = docs.repartition(files, "id").join(wanted, "id").withColumn("bucket", bucket_of("id", files)).sortWithinPartitions("id", "text")
-    texts.select("id", "bucket", "text").mapInArrow(lean(run), f"id {kind}, n long, hashes binary").write.bucketBy(files, "id").sortBy("id").option("path", f"{folder}/table").saveAsTable(name)
-    sets = spark.table(name)
-    sets._folder, sets._name = folder, name
+    rows = docs.select("id", "text", F.lit(False).alias("name")).unionByName(wanted.select("id", F.lit(None).cast(docs.schema["text"].dataType).alias("text"), F.lit(True).alias("name")))
+    rows = rows.repartition(files, "id").withColumn("bucket", bucket_of("id", files)).sortWithinPartitions("id", F.desc("name"), "text")
+    rows.select("id", "bucket", "text", "name").mapInArrow(lean(run), f"id {kind}, n long, hashes binary").write.bucketBy(files, "id").sortBy("id").option("path", f"{folder}/table").saveAsTable(stem)
+    sets = spark.table(stem)
+    sets._folder, sets._name = folder, stem
     return sets, SetFiles(f"{folder}/shards", files)
 
 
